@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .token_files import op1_token_files
+from .trie_bpe import op3_trie_bpe
 from .url_reputation import ORACLE as URL_SQL
 from .url_reputation import op10_url_reputation
 
-QUERIES = {"op10_url_reputation": op10_url_reputation}
+QUERIES = {"op1_token_files": op1_token_files, "op3_trie_bpe": op3_trie_bpe, "op10_url_reputation": op10_url_reputation}
 ORACLES = {"op10_url_reputation": URL_SQL}

@@ -63,12 +63,12 @@ weight AS (
   FROM (SELECT level, g, total, p,
                CASE WHEN total - squares / total > 0
                     THEN (dev - (g - 1) * p * (1 - p)) / (total - squares / total) ELSE 0e0 END AS spread
-        FROM (SELECT x.level, COUNT(*) AS g, CAST(SUM(x.n) AS DOUBLE) AS total,
-                     SUM(CAST(x.n AS DOUBLE) * x.n) AS squares, MAX(o.p) AS p,
-                     SUM(x.n * (CAST(x.k AS DOUBLE) / x.n - o.p) * (CAST(x.k AS DOUBLE) / x.n - o.p)) AS dev
-              FROM (SELECT 'host' AS level, n, k FROM host_level UNION ALL SELECT 'domain', n, k FROM domain_level
-                    UNION ALL SELECT 'suffix', n, k FROM suffix_level) x
-              JOIN (SELECT 0 AS one, p FROM overall) o ON x.n * 0 = o.one WHERE x.n > 0 GROUP BY x.level) s) t),
+        FROM (SELECT level, COUNT(*) AS g, CAST(SUM(n) AS DOUBLE) AS total, SUM(CAST(n AS DOUBLE) * n) AS squares,
+                     MAX(p) AS p, SUM(n * (CAST(k AS DOUBLE) / n - p) * (CAST(k AS DOUBLE) / n - p)) AS dev
+              FROM (SELECT level, n, k, (SELECT MAX(p) FROM overall) AS p
+                    FROM (SELECT 'host' AS level, n, k FROM host_level UNION ALL SELECT 'domain', n, k FROM domain_level
+                          UNION ALL SELECT 'suffix', n, k FROM suffix_level) u WHERE n > 0) x
+              GROUP BY level) s) t),
 suffix_post AS (
   SELECT suffix, (k + p * COALESCE((SELECT MAX(m) FROM weight WHERE level = 'suffix'), 1000e0))
                  / (n + COALESCE((SELECT MAX(m) FROM weight WHERE level = 'suffix'), 1000e0)) AS p
