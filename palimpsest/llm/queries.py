@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from .risk_rules import op8_risk_rules
+from .source_mix import op2_source_mix
 from .token_files import op1_token_files
 from .trie_bpe import op3_trie_bpe
 from .url_reputation import ORACLE as URL_SQL
 from .url_reputation import op10_url_reputation
 
-QUERIES = {"op1_token_files": op1_token_files, "op3_trie_bpe": op3_trie_bpe, "op10_url_reputation": op10_url_reputation}
+QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op2_source_mix": op2_source_mix,
+    "op3_trie_bpe": op3_trie_bpe,
+    "op8_risk_rules": op8_risk_rules,
+    "op10_url_reputation": op10_url_reputation,
+}
 ORACLES = {"op10_url_reputation": URL_SQL}
