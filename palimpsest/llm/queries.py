@@ -5,6 +5,7 @@ from __future__ import annotations
 from .risk_rules import op8_risk_rules
 from .source_mix import op2_source_mix
 from .token_files import op1_token_files
+from .toxicity import op9_toxicity
 from .trie_bpe import op3_trie_bpe
 from .url_reputation import ORACLE as URL_SQL
 from .url_reputation import op10_url_reputation
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_source_mix": op2_source_mix,
     "op3_trie_bpe": op3_trie_bpe,
     "op8_risk_rules": op8_risk_rules,
+    "op9_toxicity": op9_toxicity,
     "op10_url_reputation": op10_url_reputation,
 }
 ORACLES = {"op10_url_reputation": URL_SQL}
