@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .quality_gam import op6_quality_gam
 from .risk_rules import op8_risk_rules
 from .source_mix import op2_source_mix
 from .token_files import op1_token_files
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_source_mix": op2_source_mix,
     "op3_trie_bpe": op3_trie_bpe,
+    "op6_quality_gam": op6_quality_gam,
     "op8_risk_rules": op8_risk_rules,
     "op9_toxicity": op9_toxicity,
     "op10_url_reputation": op10_url_reputation,
