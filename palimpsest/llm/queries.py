@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .pii_crf import op4_pii_crf
 from .quality_gam import op6_quality_gam
 from .risk_rules import op8_risk_rules
 from .source_mix import op2_source_mix
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_source_mix": op2_source_mix,
     "op3_trie_bpe": op3_trie_bpe,
+    "op4_pii_crf": op4_pii_crf,
     "op6_quality_gam": op6_quality_gam,
     "op8_risk_rules": op8_risk_rules,
     "op9_toxicity": op9_toxicity,
