@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .one_bit_search import op7_one_bit_search
 from .pii_crf import op4_pii_crf
 from .quality_gam import op6_quality_gam
 from .risk_rules import op8_risk_rules
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_trie_bpe": op3_trie_bpe,
     "op4_pii_crf": op4_pii_crf,
     "op6_quality_gam": op6_quality_gam,
+    "op7_one_bit_search": op7_one_bit_search,
     "op8_risk_rules": op8_risk_rules,
     "op9_toxicity": op9_toxicity,
     "op10_url_reputation": op10_url_reputation,
