@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ngram_jaccard import op5_ngram_jaccard
 from .one_bit_search import op7_one_bit_search
 from .pii_crf import op4_pii_crf
 from .quality_gam import op6_quality_gam
@@ -18,6 +19,7 @@ QUERIES = {
     "op2_source_mix": op2_source_mix,
     "op3_trie_bpe": op3_trie_bpe,
     "op4_pii_crf": op4_pii_crf,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_quality_gam": op6_quality_gam,
     "op7_one_bit_search": op7_one_bit_search,
     "op8_risk_rules": op8_risk_rules,
