@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import released, table, text_bytes, written
+from ._shared import WORD, released, table, text_bytes, written
 from ._words import WordTable
 from .token_files import slices
 
@@ -324,7 +324,10 @@ def prepared(docs: DataFrame) -> DataFrame:
 
 
 def joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, text_hash, class, component_id of each row of docs (doc_id, text)."""
+    """doc_id, n_shingles, text_hash, component, component_id of each row of docs (doc_id, text).
+
+    component names the group of linked texts, also where ids are null or repeated; it is null without shingles.
+    """
     docs = prepared(docs)
     for seed in range(8):
         sets = written(set_table(docs, width, seed), "sets")
@@ -334,13 +337,27 @@ def joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
             break
     known = linked_classes(docs, sets, width, percent, seed)
     if known is None:
-        own = names.select("class", F.col("least").alias("component_id"))
+        own = names.select("class", F.col("class").alias("component"), F.col("least").alias("component_id"))
     else:
         of = names.join(known, "class", "left").withColumn("component", F.coalesce("component", "class"))
         least = written(of.groupBy("component").agg(F.min("least").alias("component_id")), "least")
-        own = written(of.select("class", "component"), "of").join(least, "component").select("class", "component_id")
+        own = written(of.select("class", "component"), "of").join(least, "component").select("class", "component", "component_id")
     own = written(own, "own")
-    return rows.join(own, "class", "left").select("doc_id", "n_shingles", "text_hash", "class", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows.join(own, "class", "left").select("doc_id", "n_shingles", "text_hash", "component", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """docs with one row of each group of linked texts, the one of the smallest doc_id, and all rows without shingles."""
+    found = written(joined(docs, width, percent).select("doc_id", "text_hash", "component"), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    stay = found.filter("component IS NOT NULL").groupBy("component").agg(first.alias("r")).select(F.col("r.doc_id").alias("stay_id"), F.col("r.text_hash").alias("stay_hash"))
+    named = docs.withColumn("own_id", F.col("doc_id").cast("long")).withColumn("own_hash", F.xxhash64(text_bytes()))
+    blank = named.filter(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    rest = named.join(stay, named["own_id"].eqNullSafe(stay["stay_id"]) & (named["own_hash"] == stay["stay_hash"]))
+    repeated = found.filter("component IS NOT NULL").groupBy("doc_id", "text_hash").count().filter("count > 1")
+    if not repeated.isEmpty():
+        rest = rest.dropDuplicates(["own_id", "own_hash"])
+    return rest.select(*docs.columns).unionByName(blank.select(*docs.columns))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -122,12 +123,27 @@ def mixed(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     return placed.withColumn("taken", taken).drop("source_no", "bucket", "before", "at", "blocks", "rest", "step", "shift", "buckets", "mix_key")
 
 
-def materialised(mix: DataFrame) -> DataFrame:
+def materialised(mix: DataFrame, columns: list[str]) -> DataFrame:
     """The mix's documents: passes whole copies of each, and one of the words of extra, joined by a space, if any."""
-    spans = F.transform("extra", lambda x: F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (x["from"] + 1).cast("int"), (x["to"] - x["from"]).cast("int")), " "))
-    part = F.when(F.size("extra") == 0, F.array().cast("array<string>")).otherwise(F.array(F.array_join(spans, " ")))
-    whole = F.when(F.col("size") > 0, F.array_repeat(F.col("text"), F.col("passes").cast("int"))).otherwise(F.array().cast("array<string>"))
-    return mix.withColumn("text", F.explode(F.concat(whole, part)))
+    schema, at = mix.select(*columns).schema, columns.index("text")
+
+    def work(batches):
+        for batch in batches:
+            texts, size = batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist()
+            rows, new = [], []
+            for k, (n, passes, extra) in enumerate(zip(size, *(batch.column(len(columns) + j).to_pylist() for j in (1, 2)))):
+                if n:
+                    rows += [k] * passes
+                    new += [texts[k]] * passes
+                if extra:
+                    words = texts[k].encode().split()
+                    rows.append(k)
+                    new.append(b" ".join(w for x in extra for w in words[x["from"] : x["to"]]).decode())
+            took = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if j == at else took.column(j) for j in range(len(columns))], columns)
+
+    out = mix.select(*columns, "size", "passes", "extra").mapInArrow(work, schema)
+    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
