@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import intrinsic, temporal
+
+PARTS = (temporal, intrinsic)
+QUERIES: dict = {k: v for part in PARTS for k, v in part.QUERIES.items()}
+ORACLES: dict = {k: v for part in PARTS for k, v in part.ORACLES.items()}
