@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import intrinsic, temporal
+from .plans import intrinsic, scoring, temporal
 
-PARTS = (temporal, intrinsic)
+PARTS = (temporal, intrinsic, scoring)
 QUERIES: dict = {k: v for part in PARTS for k, v in part.QUERIES.items()}
 ORACLES: dict = {k: v for part in PARTS for k, v in part.ORACLES.items()}
