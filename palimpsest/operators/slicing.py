@@ -17,7 +17,7 @@ def anchors(tags: DataFrame) -> DataFrame:
     """One row for each commit of tags (repo, tag_ord, tag_name, commit_hash, commit_date): its highest release, the first of equals."""
     named = tags.withColumn("version", T.release_version(F.col("tag_name"))).filter(F.col("version").isNotNull())
     best = F.max_by(F.struct("tag_name", "commit_date", "version"), F.struct("version", (-F.col("tag_ord")).alias("early")))
-    return named.groupBy("repo", "commit_hash").agg(best.alias("t")).select("repo", "commit_hash", "t.*").withColumn("kind", T.version_kind(F.col("version")))
+    return named.groupBy("repo", "commit_hash").agg(best.alias("_tag")).select("repo", "commit_hash", "_tag.*").withColumn("kind", T.version_kind(F.col("version")))
 
 
 def ordered(rows: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def transitions(symbols: DataFrame, slices: DataFrame) -> DataFrame:
     here = F.struct(F.when(stable, "stable").otherwise("added").alias("status"), F.when(stable, F.col("prev")).alias("prev"), F.col("curr").alias("curr"), (at - 1).alias("from_idx"))
     gone = F.struct(F.lit("removed").alias("status"), F.col("curr").alias("prev"), F.when(F.lit(False), F.col("curr")).alias("curr"), at.alias("from_idx"))
     left = F.coalesce(F.col("next_idx") != at + 1, F.lit(True))
-    events = near.select("repo", "key", F.explode(F.when(left, F.array(here, gone)).otherwise(F.array(here))).alias("e")).select("repo", "key", "e.*")
+    events = near.select("repo", "key", F.explode(F.when(left, F.array(here, gone)).otherwise(F.array(here))).alias("_event")).select("repo", "key", "_event.*")
     names = labelled(slices)
     first = names.select("repo", F.col("slice_idx").alias("from_idx"), F.col("slice_id").alias("from_slice_id"), F.col("label").alias("prev_v"))
     second = names.select("repo", (F.col("slice_idx") - 1).alias("from_idx"), F.col("slice_id").alias("to_slice_id"), F.col("label").alias("curr_v"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import intrinsic, scoring, slicing, temporal
+from .plans import context, intrinsic, sampling, scoring, slicing, temporal
 
-PARTS = (temporal, intrinsic, scoring, slicing)
+PARTS = (temporal, intrinsic, scoring, slicing, sampling, context)
 QUERIES: dict = {k: v for part in PARTS for k, v in part.QUERIES.items()}
 ORACLES: dict = {k: v for part in PARTS for k, v in part.ORACLES.items()}
