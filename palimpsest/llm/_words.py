@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
-MEMO = 300_000
+MEMO = 500_000
 
 
 class WordTable:
@@ -26,8 +26,9 @@ class WordTable:
         parts = [x.split() for x in texts]
         new = set().union(*parts) - self.code.keys() if parts else set()
         if self.n + len(new) > MEMO and self.n:
-            self.clear()
-            new = set().union(*parts)
+            self.n = min(self.n, MEMO // 2)  # the words seen first are the frequent ones
+            self.code = dict(islice(self.code.items(), self.n))
+            new = set().union(*parts) - self.code.keys()
         if new:
             words = list(new)
             while self.n + len(words) > len(self.room):
@@ -43,6 +44,46 @@ class WordTable:
         return self.room
 
 
+LETTERS = np.random.default_rng(20_240_601).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+BASE = 0x9E3779B97F4A7C15 & ~7 | 5
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """BASE and its inverse modulo 2**64 to the powers up to n."""
+    if len(POWERS[0]) < n:
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            POWERS[k] = np.multiply.accumulate(steps)
+    return POWERS
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts, and where each text's begin, with the end.
+
+    A word's hash is a polynomial in its bytes, read off one running sum over all texts: no word becomes an object.
+    """
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    power, inverse = powers(n)
+    space = SPACES[data]
+    change = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        change = np.concatenate([[0], change])
+    start, stop = change[::2], change[1::2]
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(LETTERS[data] * power[:n], out=total[1:])
+    h = (total[stop] - total[start]) * inverse[start]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return h ^ (h >> np.uint64(29)), np.searchsorted(start, np.concatenate([[0], ends]))
+
+
 def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sums of the parts of values; empty parts give 0."""
     total = np.concatenate([np.zeros((1, *values.shape[1:]), np.float64), np.cumsum(values, axis=0, dtype=np.float64)])

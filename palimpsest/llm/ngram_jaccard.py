@@ -3,7 +3,8 @@
 Texts with equal shingle sets are one class; the join is over classes. Sets up to a boundary are light: each writes all
 subsets of the size that two sets of given sizes must share, so light sets that meet in a subset are linked. Larger
 sets are heavy: they scan the inverted lists of their rarest shingles, in which light sets near the boundary stand too.
-A list is read by a set only where sizes and places still allow the needed overlap. The boundary is where the number
+A list is read by a set only where sizes and places still allow the needed overlap, and two sets are compared only if
+their parities (a bit for each slot of a hash of about a set's size) don't already differ too often, which is exact. The boundary is where the number
 of subsets and list entries, weighed by LIST_COST, is smallest; it follows from the histogram of small sizes.
 
 What is asked for are the classes' connected components, so not all pairs of a list are written. Each round, every
@@ -35,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import WORD, released, table, text_bytes, written
-from ._words import WordTable
+from ._shared import WORD, dropped, released, table, text_bytes, written
+from ._words import word_hashes
 from .token_files import slices
 
 SLOTS, CHUNK, LEAST_COUNT, LIST_COST, LARGEST_LIGHT, ROUNDS = 1 << 20, 1 << 21, 3, 4.0, 40, 8
@@ -77,11 +78,6 @@ def boundary(histogram: dict[int, int], larger: int, percent: int) -> int:
 
 
 # --- shingles --------------------------------------------------------------------------------------------------
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in words]), "<u8").reshape(-1, 1)
-
-
-WORDS: list[WordTable] = []
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,10 +89,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """The sorted distinct shingles of each text."""
-    if not WORDS:
-        WORDS.append(WordTable(1, word_hashes, np.uint64))
-    codes, ends = WORDS[0].look_up([x.lower() for x in texts])
-    word, n = WORDS[0].rows[codes, 0], len(codes)
+    word, ends = word_hashes([x.lower() for x in texts])
+    n = len(word)
     h = np.zeros(max(n - width + 1, 0), np.uint64)
     for k in range(width if len(h) else 0):
         h = mix(h * M3 + word[k : k + len(h)])
@@ -119,7 +113,23 @@ def digest(s: np.ndarray, seed: int) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-SETS = "doc_id long, n_shingles long, class long, second long, text_hash long, slots binary, counts binary"
+def parity(s: np.ndarray) -> bytes:
+    """A bit for each slot of a hash, whether an odd number of shingles fall into it; about as many bits as shingles."""
+    m = 1 << max(6, (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s >> np.uint64(9) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """At most the number of shingles that are in one of two sets only, from their parities."""
+    if len(x) > len(y):
+        x, y = y, x
+    while len(y) > len(x):
+        half = len(y) // 2
+        y = (int.from_bytes(y[:half]) ^ int.from_bytes(y[half:])).to_bytes(half)
+    return (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
+
+
+SETS = "doc_id long, n_shingles long, class long, second long, text_hash long, parity binary, slots binary, counts binary"
 
 
 def set_table(docs: DataFrame, width: int, seed: int) -> DataFrame:
@@ -138,7 +148,7 @@ def set_table(docs: DataFrame, width: int, seed: int) -> DataFrame:
             total = np.bincount(slot, n[keep]).astype("<i4") if len(slot) else np.zeros(0, "<i4")
             at = np.flatnonzero(total).astype("<i4")
             none = pa.nulls(1, pa.int64())
-            return pa.RecordBatch.from_arrays([none] * 5 + [pa.array([at.tobytes()], pa.binary()), pa.array([total[at].tobytes()], pa.binary())], ["doc_id", "n_shingles", "class", "second", "text_hash", "slots", "counts"])
+            return pa.RecordBatch.from_arrays([none] * 5 + [pa.nulls(1, pa.binary()), pa.array([at.tobytes()], pa.binary()), pa.array([total[at].tobytes()], pa.binary())], ["doc_id", "n_shingles", "class", "second", "text_hash", "parity", "slots", "counts"])
 
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -146,7 +156,7 @@ def set_table(docs: DataFrame, width: int, seed: int) -> DataFrame:
                 sets = shingle_sets(texts[x], width)
                 names = [digest(s, seed) if len(s) else (None, None) for s in sets]
                 blank = pa.nulls(len(sets), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[x.start : x.stop], pa.array(list(map(len, sets)), pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()), batch.column(2)[x.start : x.stop], blank, blank], ["doc_id", "n_shingles", "class", "second", "text_hash", "slots", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[x.start : x.stop], pa.array(list(map(len, sets)), pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()), batch.column(2)[x.start : x.stop], pa.array([parity(s) if len(s) else None for s in sets], pa.binary()), blank, blank], ["doc_id", "n_shingles", "class", "second", "text_hash", "parity", "slots", "counts"])
                 for s, (name, _) in zip(sets, names):
                     if len(s) and name not in seen:
                         held.append(s)
@@ -202,7 +212,8 @@ def entries(docs: DataFrame, width: int, percent: int, seed: int, light: int, co
                     if n > light or 100 * n >= percent * (light + 1):
                         m = probe_length(n, percent) if n > light else index_length(n, percent)
                         weight = count[(s >> np.uint64(44)).astype(np.int64)]
-                        order = np.lexsort((s, weight))[:m] if weight.any() else np.arange(m)
+                        rare = np.flatnonzero(weight == 0)
+                        order = rare[:m] if len(rare) >= m else np.lexsort((s, weight))[:m]
                         add(s[order], name, n, np.arange(1, m + 1))
                     if n <= light:
                         total, each = mix(s * M3).sum(dtype=np.uint64), mix(s * M3)
@@ -224,6 +235,35 @@ def may_link(percent: int, x: str = "x", y: str = "y"):
     return (100 * sx >= percent * sy) & F.when((px == 0) | (py == 0), (px == 0) & (py == 0)).otherwise(heavy)
 
 
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that their parities don't rule out: linked sets differ in few shingles."""
+
+    def work(batches):
+        for batch in batches:
+            a, b, n, m, x, y = (batch.column(k) for k in range(6))
+            most = [(100 - percent) * (i + j) for i, j in zip(n.to_pylist(), m.to_pylist())]
+            mask = pa.array([(100 + percent) * differing(p, q) <= d for p, q, d in zip(x.to_pylist(), y.to_pylist(), most)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+
+    own = lambda k: classes.select(F.col("class").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("parity").alias(f"parity_{k}"))
+    return pairs.select("a", "b").join(own("a"), "a").join(own("b"), "b").select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(work, "a long, b long")
+
+
+def members(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int, seed: int, repeated: bool) -> DataFrame:
+    """class and its shingles, from one text of each wanted class."""
+
+    def work(batches):
+        for batch in batches:
+            texts, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for x in slices(texts):
+                got = [(n, s) for n, s in zip(names[x], shingle_sets(texts[x], width)) if len(s) and digest(s, seed)[0] == n]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int64()), pa.array([s.astype("<u8").tobytes() for _, s in got], pa.binary())], ["class", "members"])
+
+    chosen = classes.join(wanted, "class").select("class", F.col("row.doc_id").alias("of_id"), F.col("row.text_hash").alias("of_hash"))
+    own = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["of_id"]) & (docs["text_hash"] == chosen["of_hash"])).select("text", "class").mapInArrow(work, "class long, members binary")
+    return own.dropDuplicates(["class"]) if repeated else own
+
+
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are linked."""
 
@@ -258,11 +298,10 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
             return known
 
 
-def linked_classes(docs: DataFrame, sets: DataFrame, width: int, percent: int, seed: int) -> DataFrame | None:
+def linked_classes(docs: DataFrame, sets: DataFrame, classes: DataFrame, width: int, percent: int, seed: int) -> DataFrame | None:
     """class, component of classes that are linked with others; None if no list has two classes."""
     spark = docs.sparkSession
-    rows = sets.filter("class IS NOT NULL")
-    sizes = rows.filter(F.col("n_shingles") <= 2 * LARGEST_LIGHT).groupBy("n_shingles").agg(F.count_distinct("class").alias("n")).collect()
+    sizes = sets.filter("class IS NOT NULL").filter(F.col("n_shingles") <= 2 * LARGEST_LIGHT).groupBy("n_shingles").agg(F.count_distinct("class").alias("n")).collect()
     light = boundary({r.n_shingles: r.n for r in sizes}, 0, percent)
     lists = entries(docs, width, percent, seed, light, frequencies(sets)).repartition("key")
     own = Window.partitionBy("key")
@@ -271,20 +310,7 @@ def linked_classes(docs: DataFrame, sets: DataFrame, width: int, percent: int, s
     released(spark)
     if shared.isEmpty():
         return None
-    chosen = rows.select("class", F.struct("doc_id", "text_hash").alias("row")).join(shared.select("class").distinct(), "class").groupBy("class").agg(F.min("row").alias("row")).select("class", "row.doc_id", "row.text_hash")
-    chosen = written(chosen, "chosen")
-
-    def members(batches):
-        for batch in batches:
-            texts, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for x in slices(texts):
-                got = [(n, s) for n, s in zip(names[x], shingle_sets(texts[x], width)) if len(s) and digest(s, seed)[0] == n]
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int64()), pa.array([s.astype("<u8").tobytes() for _, s in got], pa.binary())], ["class", "members"])
-
-    same = docs["doc_id"].eqNullSafe(chosen["doc_id"]) & (docs["text_hash"] == chosen["text_hash"])
-    kept = written(docs.join(chosen, same).select("text", "class").mapInArrow(members, "class long, members binary").dropDuplicates(["class"]), "members")
-    released(spark)
-
+    repeated = not sets.filter("slots IS NULL").groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty()
     links, known, left = None, None, shared
     for k in range(ROUNDS + 1):
         named = left.drop("component") if known is None else left.drop("component").join(known, "class", "left")
@@ -308,7 +334,11 @@ def linked_classes(docs: DataFrame, sets: DataFrame, width: int, percent: int, s
             meets = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((smaller & forth) | (~smaller & back) | ((F.col("x.size") == F.col("y.size")) & back)))
             votes = meets.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).count()
             tried = votes.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-        found = written(compared(tried, kept, percent), "found")
+        tried = written(possible(tried, classes, percent), "tried")
+        ends = tried.select(F.col("a").alias("class")).union(tried.select(F.col("b").alias("class"))).distinct()
+        own_sets = written(members(docs, classes, ends, width, seed, repeated), "members")
+        found = written(compared(tried, own_sets, percent), "found")
+        dropped(own_sets)
         released(spark)
         links = found if links is None else links.unionByName(found)
         if not found.isEmpty():
@@ -331,11 +361,11 @@ def joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
     docs = prepared(docs)
     for seed in range(8):
         sets = written(set_table(docs, width, seed), "sets")
-        rows = sets.filter("slots IS NULL").select("doc_id", "n_shingles", "class", "second", "text_hash")
-        names = written(rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.min("second").alias("low"), F.max("second").alias("high")), "classes")
+        rows = sets.filter("slots IS NULL").select("doc_id", "n_shingles", "class", "second", "text_hash", "parity")
+        names = written(rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.min("second").alias("low"), F.max("second").alias("high"), F.min("n_shingles").alias("n_shingles"), F.min("parity").alias("parity"), F.min(F.struct("doc_id", "text_hash")).alias("row")), "classes")
         if names.filter("low <> high").isEmpty():
             break
-    known = linked_classes(docs, sets, width, percent, seed)
+    known = linked_classes(docs, sets, names, width, percent, seed)
     if known is None:
         own = names.select("class", F.col("class").alias("component"), F.col("least").alias("component_id"))
     else:
