@@ -75,6 +75,7 @@ def sql_over(spark: SparkSession, sf_dir: str, text: str, *names: str, **more: D
     import re
 
     frames = {**views(spark, sf_dir, *names), **more}
+    text = text.replace("{", "{{").replace("}", "}}")
     for n in frames:
         text = re.sub(rf"(?<=FROM |JOIN ){n}\b(?![.'])", "{" + n + "}", text)
     return spark.sql(text, **frames)
