@@ -5,8 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,11 +72,14 @@ def held_out(name: str = "doc_id") -> Column:
     return (F.crc32(F.col(name).cast("string")) % 3) == 1
 
 
-def byte_lists(batch: pa.RecordBatch, name: str) -> list[bytes]:
-    return batch.column(name).to_pylist()
+#: What one operator keeps in a worker process from task to task.
+KEPT: dict = {}
 
 
-def ragged(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """One flat array and the offsets of its parts."""
-    sizes = np.fromiter(map(len, values), np.int64, len(values))
-    return (np.concatenate(values) if values else np.zeros(0)), np.concatenate([[0], np.cumsum(sizes)])
+def kept(name, make):
+    """The memo of this name in this worker, made if need be. Only the last operator's stays, so that an executor that
+    runs one operator after the other doesn't hold the memos of all."""
+    if name not in KEPT:
+        KEPT.clear()
+        KEPT[name] = make()
+    return KEPT[name]

@@ -7,7 +7,7 @@ from itertools import chain, islice
 
 import numpy as np
 
-MEMO = 500_000
+MEMO = 250_000
 
 
 class WordTable:
@@ -45,6 +45,7 @@ class WordTable:
 
 
 LETTERS = np.random.default_rng(20_240_601).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+OTHER_LETTERS = np.random.default_rng(20_240_602).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15 & ~7 | 5
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -61,27 +62,108 @@ def powers(n: int) -> list[np.ndarray]:
     return POWERS
 
 
+class Cut:
+    """The words of texts as places in one run of bytes, none of them an object."""
+
+    def __init__(self, texts: list[bytes]):
+        self.raw = b"\n".join([*texts, b""])
+        self.data = np.frombuffer(self.raw, np.uint8)
+        space = SPACES[self.data]
+        change = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if len(space) and not space[0]:
+            change = np.concatenate([[0], change])
+        self.start, self.stop = change[::2], change[1::2]
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        self.ends = np.searchsorted(self.start, np.concatenate([[0], ends]))
+
+    def hashes(self, letters: np.ndarray) -> np.ndarray:
+        """A polynomial in each word's bytes, read off one running sum over all texts."""
+        n = len(self.data)
+        power, inverse = powers(n)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(letters[self.data] * power[:n], out=total[1:])
+        h = (total[self.stop] - total[self.start]) * inverse[self.start]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(29))
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of all texts, and where each text's begin, with the end.
+    """A 64-bit hash of each word of all texts, and where each text's begin, with the end."""
+    own = Cut(texts)
+    return own.hashes(LETTERS), own.ends
+
 
-    A word's hash is a polynomial in its bytes, read off one running sum over all texts: no word becomes an object.
+class IdMemo:
+    """Ids of words by two 64-bit hashes of each, in arrays: some 30 bytes a word, at most `most` words.
+
+    Open addressing with half the slots free at least; a step of probing is one step for all words that still look.
     """
-    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    power, inverse = powers(n)
-    space = SPACES[data]
-    change = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if not space[0]:
-        change = np.concatenate([[0], change])
-    start, stop = change[::2], change[1::2]
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(LETTERS[data] * power[:n], out=total[1:])
-    h = (total[stop] - total[start]) * inverse[start]
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    return h ^ (h >> np.uint64(29)), np.searchsorted(start, np.concatenate([[0], ends]))
+
+    def __init__(self, kind: np.dtype, most: int, bits: int = 21):
+        self.kind, self.most, self.bits = np.dtype(kind), most, bits
+        self.slot, self.n = np.full(1 << bits, -1, np.int32), 0
+        self.key, self.other = np.zeros(most, np.uint64), np.zeros(most, np.uint64)
+        self.at, self.size = np.zeros(most, np.int64), np.zeros(most, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, self.kind), 0
+
+    def find(self, h: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """The entry of each word, or -1."""
+        out, open_ = np.full(len(h), -1, np.int64), np.arange(len(h))
+        place, mask = (h >> np.uint64(64 - self.bits)).astype(np.int64), (1 << self.bits) - 1
+        while len(open_):
+            e = self.slot[place]
+            there = e >= 0
+            open_, place, e = open_[there], place[there], e[there]
+            hit = (self.key[e] == h[open_]) & (self.other[e] == other[open_])
+            out[open_[hit]] = e[hit]
+            open_, place = open_[~hit], (place[~hit] + 1) & mask
+        return out
+
+    def _place(self, entries: np.ndarray) -> None:
+        place, mask = (self.key[entries] >> np.uint64(64 - self.bits)).astype(np.int64), (1 << self.bits) - 1
+        while len(entries):
+            free = self.slot[place] < 0
+            self.slot[place[free]] = entries[free]
+            lost = self.slot[place] != entries
+            entries, place = entries[lost], (place[lost] + 1) & mask
+
+    def add(self, h: np.ndarray, other: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        n, m = self.n, len(h)
+        if n + m > self.most:  # the words seen first are the frequent ones
+            n = self.n = min(n, self.most // 2)
+            self.used = int(self.at[n - 1] + self.size[n - 1]) if n else 0
+            self.slot[:] = -1
+            self._place(np.arange(n, dtype=np.int32))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.key[n : n + m], self.other[n : n + m], self.size[n : n + m] = h, other, sizes
+        self.at[n : n + m] = self.used + np.cumsum(sizes) - sizes
+        self.used, self.n = self.used + len(ids), n + m
+        self._place(np.arange(n, n + m, dtype=np.int32))
+
+    def texts(self, texts: list[bytes], learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """The ids of each text. learn gives sizes and ids of words that aren't known, at most `most` // 2 at a time."""
+        own = Cut(texts)
+        h, other = own.hashes(LETTERS), own.hashes(OTHER_LETTERS)
+        entry = self.find(h, other)
+        miss = np.flatnonzero(entry < 0)
+        if len(miss):
+            first = miss[np.unique(h[miss], return_index=True)[1]]
+            if len(first) > self.most // 2:
+                if len(texts) > 1:
+                    half = len(texts) // 2
+                    return self.texts(texts[:half], learn) + self.texts(texts[half:], learn)
+                sizes, ids = learn([own.raw[a:z] for a, z in zip(own.start.tolist(), own.stop.tolist())])
+                return [ids]
+            words = [own.raw[a:z] for a, z in zip(own.start[first].tolist(), own.stop[first].tolist())]
+            self.add(h[first], other[first], *learn(words))
+            entry = self.find(h, other)
+        size = self.size[entry].astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = self.ids[np.repeat(self.at[entry] - ends[:-1], size) + np.arange(ends[-1])]
+        cuts = ends[own.ends]
+        return [flat[a:z] for a, z in zip(cuts.tolist(), cuts[1:].tolist())]
 
 
 def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:

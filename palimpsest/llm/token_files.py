@@ -17,20 +17,27 @@ table gives no frames. Memory is bounded by a shard, a part of a batch and the m
 
 from __future__ import annotations
 
+import codecs
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import scratch, table, text_bytes
+from ._shared import kept, scratch, table, text_bytes
+from ._words import IdMemo
 
-SHARD_TOKENS, END_ID, MEMO, PART_BYTES = 1 << 19, 1, 400_000, 1 << 21
-ROUNDS, LEAST, SLOTS = 8, 6, 18
+SHARD_TOKENS, END_ID, MEMO, PART_BYTES = 1 << 18, 1, 800_000, 1 << 21
+ROUNDS, LEAST, SLOTS = 5, 8, 17
+#: What the tokenizer file names as its pattern.
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 HEAD = struct.Struct("<4sIQIIII")
 FRAMES = "part int, before long, n_docs int, n_tokens long, frame binary"
 
@@ -41,97 +48,153 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words that aren't plain: beyond U+024F, with white space that isn't ASCII, or with what may be a special token.
+NOT_PLAIN = re.compile("[\u0250-\U0010ffff\x85\xa0]|<\\|")
+PIECE = regex.compile("'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\p{L}\\p{N}\\n]+|\\n")
+
+
+def byte_letters() -> list[str]:
+    """The printable letter that stands for each byte: itself where it is printable, else the next one after 255."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    free = iter(range(256, 512))
+    return [chr(b if b in plain else next(free)) for b in range(256)]
+
+
+LETTERS = "".join(" " if b == 32 else c for b, c in enumerate(byte_letters()))
+#: Stands for the end of a word in what cut() gives.
+MARK = LETTERS[10]
+
+
+def cut(joined: str) -> list[str]:
+    """Plain words, one a line, as pieces in byte letters, MARK after each word."""
+    return codecs.charmap_decode(" ".join(PIECE.findall(joined.lower() + "\n")).encode(), "strict", LETTERS)[0].split(" ")
+
+
 class Encoder:
-    """ids of whole texts. White space separates words for good in these tokenizers, so a word is encoded once."""
+    """ids of whole texts. White space separates words for good in these tokenizers, so a word is encoded once.
+
+    New words of a part of a batch go through the library's BPE model in one call. Below U+0250 the file's normaliser
+    is lower case and its pattern is PIECE; other words go through the library's whole chain, one by one.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.own = Tokenizer.from_file(path)
         self.own.no_truncation()
         self.own.no_padding()
         self.vocab = self.own.get_vocab_size()
-        self.known: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.bulk = None
+        if spec["model"].get("end_of_word_suffix") == "</w>" and PATTERN in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\"):
+            self.bulk = Tokenizer(self.own.model)
+            self.bulk.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.ends_word = np.zeros(self.vocab, bool)
+            self.ends_word[[i for t, i in self.own.get_vocab().items() if t.endswith("</w>")]] = True
+        self.kind = np.dtype("<u2" if self.vocab <= 1 << 16 else "<u4")
+        self.memo = IdMemo(self.kind, MEMO)
+
+    def library(self, words: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.own.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def plain(self, joined: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of n plain words, one a line."""
+        pieces = cut(joined)
+        last = np.fromiter(map(MARK.__eq__, pieces), bool, len(pieces))
+        ids = np.array(self.bulk.encode_batch_fast([" ".join(p for p in pieces if p != MARK)], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1  # of pieces
+        stop = ends[np.cumsum(~last)[last] - 1]  # of words
+        if len(stop) != n or len(ends) != (~last).sum():
+            raise ValueError("pieces and words don't agree")
+        return np.diff(stop, prepend=0), ids
+
+    def learn(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words."""
+        joined = b"\n".join(new).decode()
+        if self.bulk and not NOT_PLAIN.search(joined):
+            return self.plain(joined, len(new))
+        lines = joined.split("\n")
+        odd = [k for k, w in enumerate(lines) if not self.bulk or NOT_PLAIN.search(w)]
+        found: list = [None] * len(new)
+        for k, ids in zip(odd, self.library([new[k] for k in odd])):
+            found[k] = ids
+        rest = [k for k, ids in enumerate(found) if ids is None]
+        if rest:
+            sizes, ids = self.plain("\n".join([lines[k] for k in rest]), len(rest))
+            for k, own in zip(rest, np.split(ids, np.cumsum(sizes)[:-1])):
+                found[k] = own
+        return np.fromiter(map(len, found), np.int64, len(found)), np.concatenate(found)
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        parts = [x.split() for x in texts]
-        new = set().union(*parts) - self.known.keys()
-        if len(self.known) + len(new) > MEMO:
-            self.known.clear()
-            new = set().union(*parts)
-        new = list(new)
-        found = self.own.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in found)))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, p)), "<u4") for p in parts]
-
-
-ENCODERS: dict[str, Encoder] = {}
+        return self.memo.texts(texts, self.learn)
 
 
 def encoder(path: str) -> Encoder:
     """One for each worker process and file."""
-    if path not in ENCODERS:
-        ENCODERS[path] = Encoder(path)
-    return ENCODERS[path]
+    return kept(("token_files", path), lambda: Encoder(path))
+
+
+def slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.astype(np.uint32) * np.uint32(0x9E3779B1) + b.astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOTS)
 
 
 def re_pair(symbols: np.ndarray, vocab: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """symbols after the rounds, and left, right and expansion length of each rule."""
-    s = symbols.astype(np.int64)
-    left, right, length = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.ones(vocab + 1, np.int64)]
-    n_rules = 0
+    """symbols after the rounds, and left, right and expansion length of each rule.
+
+    A round counts pairs by slots of a hash table, sorts only those of full slots, and replaces all pairs that are
+    frequent enough, one for each slot. Of pairs that overlap in the text every other one is replaced, from the left.
+    """
+    s = symbols.astype(np.uint32)
+    left, right, length = np.zeros(0, np.int64), np.zeros(0, np.int64), np.ones(vocab + 1, np.int64)
     for _ in range(ROUNDS):
-        if len(s) < 2 or n_rules >= most:
+        if len(s) < 2 or len(left) >= most:
             break
-        keys = (s[:-1] << 32) | s[1:]
-        slot = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).view(np.int64)
+        slot = slots(s[:-1], s[1:]).astype(np.int64)
         load = np.bincount(slot, minlength=1 << SLOTS)
-        may = keys[(load >= LEAST)[slot] & (s[:-1] != vocab) & (s[1:] != vocab)]
-        if not len(may):
-            break
-        may.sort()
-        first = np.flatnonzero(np.concatenate([[True], may[1:] != may[:-1]]))
-        pairs, counts = may[first], np.diff(np.append(first, len(may)))
-        keep = counts >= max(LEAST, counts.max() // 16)
+        at = np.flatnonzero((load >= LEAST)[slot])
+        a, b = s[at], s[at + 1]
+        inside = (a != vocab) & (b != vocab)
+        at, a, b = at[inside], a[inside], b[inside]
+        keys = (a.astype(np.int64) << 32) | b
+        ordered = np.sort(keys)
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        pairs, counts = ordered[first], np.diff(np.append(first, len(keys)))
+        keep = counts >= max(LEAST, counts.max(initial=0) // 64)
         pairs, counts = pairs[keep], counts[keep]
         if not len(pairs):
             break
-        order = np.lexsort((pairs, -counts))[: most - n_rules]
-        pairs = pairs[order]
-        # one pair for each slot, the most frequent; others wait for a later round
-        at = ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).view(np.int64)
-        pairs = pairs[np.sort(np.unique(at, return_index=True)[1])]
-        at = ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).view(np.int64)
+        pairs = pairs[np.lexsort((pairs, -counts))[: most - len(left)]]
+        own = slots(pairs >> 32, pairs & 0xFFFFFFFF)
+        one = np.sort(np.unique(own, return_index=True)[1])  # the most frequent of a slot; others wait for a later round
+        pairs, own = pairs[one], own[one]
         owner, name = np.full(1 << SLOTS, -1, np.int64), np.zeros(1 << SLOTS, np.int64)
-        owner[at], name[at] = pairs, np.arange(len(pairs))
-        hit = np.flatnonzero(owner[slot] == keys)
-        # of hits that overlap, every other one counts, from the left
+        owner[own], name[own] = pairs, np.arange(len(pairs))
+        of = slot[at]
+        match = owner[of] == keys
+        hit, kind = at[match], name[of[match]]
         run = np.concatenate([[True], np.diff(hit) > 1])
         start = np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
-        hit = hit[(np.arange(len(hit)) - start) % 2 == 0]
-        kind = name[slot[hit]]
+        even = (np.arange(len(hit)) - start) % 2 == 0
+        hit, kind = hit[even], kind[even]
         used = np.bincount(kind, minlength=len(pairs)) >= 3
         hit, kind = hit[used[kind]], kind[used[kind]]
         if not len(hit):
             break
-        number = np.cumsum(used) - 1
-        a, b = pairs[used] >> 32, pairs[used] & 0xFFFFFFFF
-        s[hit] = vocab + 1 + n_rules + number[kind]
+        s[hit] = (vocab + 1 + len(left) + np.cumsum(used) - 1)[kind]
         gone = np.ones(len(s), bool)
         gone[hit + 1] = False
         s = s[gone]
-        sizes = np.concatenate(length)
-        left.append(a)
-        right.append(b)
-        length.append(sizes[a] + sizes[b])
-        n_rules += len(a)
-    return s, np.concatenate(left), np.concatenate(right), np.concatenate(length[1:] or [np.zeros(0, np.int64)])
+        new = pairs[used]
+        length = np.concatenate([length, length[new >> 32] + length[new & 0xFFFFFFFF]])
+        left, right = np.concatenate([left, new >> 32]), np.concatenate([right, new & 0xFFFFFFFF])
+    return s, left, right, length[vocab + 1 :]
 
 
 def to_frame(doc_ids: list, ids: list[np.ndarray], vocab: int) -> bytes:
     """ids: of each document, without the end id."""
-    flat = np.concatenate([x for i in ids for x in (i.astype(np.int64), np.array([vocab]))])
+    flat = np.concatenate([x for i in ids for x in (i, np.array([vocab], np.uint32))])
     s, left, right, length = re_pair(flat, vocab, 65_535 - vocab - 1 if vocab < 65_000 else 1 << 20)
     kind = "<u2" if vocab < 65_000 else "<u4"
     places = np.concatenate([[0], np.flatnonzero(s == vocab) + 1])
@@ -169,15 +232,19 @@ class Frame:
     def expanded(self, s: np.ndarray) -> np.ndarray:
         """The ids of symbols. What rules stand for is laid out once, each after the rules it is made of."""
         if self.full is None:
-            starts = np.concatenate([np.arange(self.vocab + 1), self.vocab + 1 + np.cumsum(self.length[self.vocab + 1 :]) - self.length[self.vocab + 1 :]]).astype(np.int64)
-            text = np.empty(self.vocab + 1 + int(self.length[self.vocab + 1 :].sum()), np.uint32)
-            text[: self.vocab + 1] = np.arange(self.vocab + 1)
-            text[self.vocab] = self.end_id
-            for k, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist()), self.vocab + 1):
-                at, n = starts[k], self.length[a]
-                text[at : at + n] = text[starts[a] : starts[a] + n]
-                text[at + n : at + self.length[k]] = text[starts[b] : starts[b] + self.length[b]]
-            self.full = starts, text
+            rules = np.arange(self.vocab + 1, len(self.length))
+            while (deep := rules > self.vocab).any():  # all rules' texts at once, a level of rules at a time
+                n = 1 + deep
+                at = np.cumsum(n) - n
+                wider = np.empty(len(rules) + int(deep.sum()), np.int64)
+                wider[at] = rules
+                k = rules[deep] - self.vocab - 1
+                wider[at[deep]], wider[at[deep] + 1] = self.left[k], self.right[k]
+                rules = wider
+            text = np.concatenate([np.arange(self.vocab + 1), rules]).astype(np.uint32)
+            text[text == self.vocab] = self.end_id
+            size = self.length.copy()
+            self.full = np.cumsum(size) - size, text
         starts, text = self.full
         n = self.length[s]
         ends = np.cumsum(n)
