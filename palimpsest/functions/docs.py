@@ -63,16 +63,15 @@ def quoted(c: Column) -> Column:
 
 
 def javadoc(c: Column) -> Column:
-    """A comment without its marks and the stars that begin its lines."""
+    """A comment without its marks and without the star that begins a line."""
     t = F.regexp_replace(_strip(text(c)), r"\A/\*\*|\*/\z", "")
-    return _strip(F.array_join(F.transform(F.split(t, "\n"), lambda x: _strip(F.regexp_replace(_strip(x), r"\A\*+", ""))), "\n"))
+    return _strip(F.array_join(F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(x, r"\A\s*\*\s*", "")), "\n"))
 
 
 def java_import(c: Column) -> Column:
-    """Module, names and whether all names of an import statement."""
-    t = _strip(F.regexp_replace(F.regexp_replace(_strip(c), r"\Aimport\s+", ""), r"\s*;\s*\z", ""))
-    t = F.regexp_replace(t, r"\Astatic\s+", "")
-    every = t.endswith(".*")
-    last = F.regexp_extract(t, r"([^.]+)\z", 1)
-    module = F.when(every, F.regexp_replace(t, r"\.\*\z", "")).when(t.contains("."), F.regexp_replace(t, r"\.[^.]+\z", "")).otherwise(t)
-    return F.struct(module.alias("module"), F.when(every, F.array(F.lit("*"))).otherwise(F.array(last)).alias("names"), every.alias("is_wildcard"))
+    """Module, names and whether all names of an import statement; all names, or a bare module, list none."""
+    t = _strip(F.regexp_replace(_strip(c), r"\A(?:import )?(?:static )?|;\z", ""))
+    every, dotted = t.endswith(".*"), t.contains(".")
+    module = F.when(dotted, F.regexp_replace(t, r"\.[^.]*\z", "")).otherwise(t)
+    names = F.when(dotted & ~every, F.array(F.regexp_extract(t, r"([^.]*)\z", 1))).otherwise(F.array().cast("array<string>"))
+    return F.struct(module.alias("module"), names.alias("names"), every.alias("is_wildcard"))
