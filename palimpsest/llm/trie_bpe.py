@@ -10,34 +10,26 @@ Texts are split at white space, which these tokenizers drop, so a word is encode
 in the memo. Only the library's normaliser and pre-tokeniser are used, for words that aren't ASCII; merges are our own.
 
 Cases: null or empty texts have no ids and decode to the empty string. Special tokens within a text become their ids.
-Equal and repeated rows are encoded alike; null doc_ids are kept. The memo is bounded (MEMO words), words of over
-LONG bytes aren't kept in it, and a batch is worked on in parts.
+Equal and repeated rows are encoded alike; null doc_ids are kept. The memos of words, pieces and pairs are bounded, and a
+batch is worked on in parts.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table, text_bytes
-from .token_files import default_tokenizer, slices
+from ._shared import kept, table, text_bytes
+from ._words import IdMemo
+from .token_files import MARK, NOT_PLAIN, PATTERN, cut, default_tokenizer, slices
 
-MEMO, LONG = 400_000, 400
-#: What the tokenizer file names as its pattern, for words of ASCII only.
-ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-
-
-def byte_letters() -> list[str]:
-    """The printable letter that stands for each byte: itself where it is printable, else the next one after 255."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    free = iter(range(256, 512))
-    return [chr(b if b in plain else next(free)) for b in range(256)]
+MEMO, PAIRS = 250_000, 400_000
 
 
 class TrieEncoder:
@@ -59,7 +51,8 @@ class TrieEncoder:
             self.token[i] = t
         for t in spec["added_tokens"]:
             self.token[t["id"]] = t["content"]
-        self.special = {t["content"].encode(): np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]}
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.special = {t["content"].encode(): np.array([t["id"]], self.kind).tobytes() for t in spec["added_tokens"]}
         self.split_special = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
         self.width = [len(t.removesuffix("</w>")) for t in self.token]
         self.inner, self.last = {}, {}
@@ -71,33 +64,69 @@ class TrieEncoder:
             for c in reversed(body):
                 node = node.setdefault(c, {})
             node[""] = i
-        self.letters = byte_letters()
         self.fits: dict[int, bool] = {}
-        self.known: dict[bytes, bytes] = {}
-        self.plain = str.maketrans({chr(b): c for b, c in enumerate(self.letters) if b < 128})
+        self.edges: dict[tuple[str, bool], list | None] = {}
+        self.memo = IdMemo(self.kind, 2 * MEMO)
+        self.piece: dict[str, bytes] = {}
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        """The merges one at a time: the lowest rank first, then the leftmost."""
-        s = list(symbols)
+    def merged(self, symbols: list[str]) -> tuple[list[str], tuple[str, str] | None]:
+        """The merges one at a time, the lowest rank first, then the leftmost; and the last pair that was merged."""
+        s, last = list(symbols), None
         while len(s) > 1:
             best = min((self.rank.get(p, 1 << 60), k) for k, p in enumerate(zip(s, s[1:])))
             if best[0] == 1 << 60:
                 break
-            s[best[1] : best[1] + 2] = [s[best[1]] + s[best[1] + 1]]
-        return s
+            last = s[best[1]], s[best[1] + 1]
+            s[best[1] : best[1] + 2] = [last[0] + last[1]]
+        return s, last
 
     def symbols(self, token: str) -> list[str]:
         if token.endswith("</w>") and len(token) > 4:
             return [*token[:-5], token[-5:]]
         return list(token)
 
+    def edge(self, token: str, right: bool) -> list[tuple[str, int]] | None:
+        """What stands at a token's right (or left) end while it is merged from its letters, with the rank of the merge
+        that takes it up; None if its letters don't merge into it."""
+        key = (token, right)
+        if key not in self.edges:
+            end, last = self.merged(self.symbols(token))
+            if len(end) > 1:
+                self.edges[key] = None
+            elif last is None:
+                self.edges[key] = [(token, 1 << 60)]
+            else:
+                before = self.edge(last[right], right)
+                self.edges[key] = [*before[:-1], (before[-1][0], self.rank[last]), (token, 1 << 60)]
+        return self.edges[key]
+
     def stays(self, a: int, b: int) -> bool:
-        """Whether a (-1: nothing) followed by b stays so."""
+        """Whether a (-1: nothing) followed by b stays so.
+
+        Merges go up in rank. The symbols at both sides of the border, each until it is taken up, are a short list; the
+        border is crossed if a merge of two that stand side by side has a lower rank than what takes up either (on the
+        right also an equal one, as the left of equals goes first).
+        """
         key = (a + 1) << 32 | b
         if (v := self.fits.get(key)) is None:
-            ta, tb = self.token[a] if a >= 0 else "", self.token[b]
-            v = self.merged(self.symbols(ta) + self.symbols(tb)) == [x for x in (ta, tb) if x]
-            if len(self.fits) > 2_000_000:
+            y = self.edge(self.token[b], False)
+            x = self.edge(self.token[a], True) if a >= 0 else []
+            v = x is not None and y is not None
+            if v and x:
+                i = j = 0
+                while True:
+                    (p, until), (q, till) = x[i], y[j]
+                    m = self.rank.get((p, q))
+                    if m is not None and m < until and m <= till:
+                        v = False
+                        break
+                    if until == till == 1 << 60:
+                        break
+                    if until <= till:
+                        i += 1
+                    else:
+                        j += 1
+            if len(self.fits) > PAIRS:
                 self.fits.clear()
             self.fits[key] = v
         return v
@@ -140,50 +169,47 @@ class TrieEncoder:
         return out
 
     def pieces(self, word: bytes) -> list[str]:
-        """A word's pieces in byte letters."""
-        if word.isascii():
-            return [x.decode().translate(self.plain) for x in ASCII_PIECES.findall(word.lower())]
+        """A word's pieces in byte letters, by the library's normaliser and pre-tokeniser."""
         text = self.own.normalizer.normalize_str(word.decode("utf-8", "replace"))
         return [x for x, _ in self.own.pre_tokenizer.pre_tokenize_str(text)]
 
-    def learn(self, new: set[bytes]) -> None:
-        """Encode words that aren't in the memo."""
-        cut: dict[bytes, list] = {}
-        for w in new:
-            if self.split_special and b"<|" in w:
-                cut[w] = [x if x in self.special else self.pieces(x) for x in self.split_special.split(w) if x]
-            else:
-                cut[w] = [self.pieces(w)]
-        words = sorted({p for parts in cut.values() for x in parts if not isinstance(x, bytes) for p in x})
-        found = {w: np.array(ids, "<u4").tobytes() for w, ids in zip(words, self.encode_sorted(words))}
-        for w, parts in cut.items():
-            self.known[w] = b"".join(self.special[x] if isinstance(x, bytes) else b"".join([found[p] for p in x]) for x in parts)
+    def learn(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words that aren't in the memo."""
+        joined = b"\n".join(new).decode()
+        odd: dict[bytes, list] = {}
+        plain_words = new
+        if NOT_PLAIN.search(joined):
+            for w in (x.encode() for x in joined.split("\n") if NOT_PLAIN.search(x)):
+                odd[w] = [x if x in self.special else self.pieces(x) for x in (self.split_special.split(w) if self.split_special else [w]) if x]
+            plain_words = [w for w in new if w not in odd]
+            joined = b"\n".join(plain_words).decode()
+        plain = cut(joined) if plain_words else []
+        wanted = {*plain, *(p for parts in odd.values() for x in parts if not isinstance(x, bytes) for p in x)}
+        wanted.discard(MARK)
+        if len(self.piece) > MEMO:
+            self.piece = dict(islice(self.piece.items(), MEMO // 2))
+        words = sorted(wanted - self.piece.keys())
+        self.piece.update(zip(words, (np.array(ids, self.kind).tobytes() for ids in self.encode_sorted(words))))
+        found, start, piece = [], 0, self.piece
+        for k, p in enumerate(plain):
+            if p == MARK:
+                found.append(piece[plain[start]] if k == start + 1 else b"".join([piece[x] for x in plain[start:k]]))
+                start = k + 1
+        if odd:
+            rest = iter(found)
+            found = [b"".join(self.special[x] if isinstance(x, bytes) else b"".join([piece[p] for p in x]) for x in odd[w]) if w in odd else next(rest) for w in new]
+        return np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize, np.frombuffer(b"".join(found), self.kind)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [x.split() for x in texts]
-        new = set().union(*split) - self.known.keys()
-        if len(self.known) + len(new) > MEMO:
-            self.known.clear()
-            new = set().union(*split)
-        self.learn(new)
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, p)), "<u4") for p in split]
-        for w in new:
-            if len(w) > LONG:
-                self.known.pop(w, None)
-        return out
+        return self.memo.texts(texts, self.learn)
 
     def decode(self, ids: np.ndarray) -> str:
         """Tokens joined by a space, as for a tokenizer file without a decoder."""
         return " ".join(map(self.token.__getitem__, ids.tolist()))
 
 
-ENCODERS: dict[str, TrieEncoder] = {}
-
-
 def trie_encoder(path: str) -> TrieEncoder:
-    if path not in ENCODERS:
-        ENCODERS[path] = TrieEncoder(path)
-    return ENCODERS[path]
+    return kept(("trie_bpe", path), lambda: TrieEncoder(path))
 
 
 def encode_and_decode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
