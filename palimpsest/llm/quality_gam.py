@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ._boost import Additive
 from ._labelled import drawn, joined
-from ._shared import held_out, table, text_bytes
+from ._shared import held_out, kept, table, text_bytes
 from ._words import WordTable, owners, repeated_windows, sums
 from .risk_rules import NOT_SYMBOL, dup_lines
 from .token_files import slices
@@ -42,19 +42,15 @@ def describe(words: list[bytes]) -> np.ndarray:
     return out
 
 
-WORDS: list[WordTable] = []
-
-
 def rows(texts: list[bytes]) -> np.ndarray:
     """FEATURES of each text."""
-    if not WORDS:
-        WORDS.append(WordTable(9, describe))
-    codes, ends = WORDS[0].look_up(texts)
+    words = kept("quality_gam", lambda: WordTable(9, describe))
+    codes, ends = words.look_up(texts)
     if not len(codes):
         return np.zeros((len(texts), len(FEATURES)))
     n = np.diff(ends)
     some = np.maximum(n, 1).astype(float)
-    length, signs, bars, shouted, capitals, digits, stops, short, long_ = (sums(WORDS[0].rows[codes], ends) / some[:, None]).T
+    length, signs, bars, shouted, capitals, digits, stops, short, long_ = (sums(words.rows[codes], ends) / some[:, None]).T
     keys = np.sort((owners(ends) << 32) | codes)
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     counts, of = np.diff(np.append(first, len(keys))), keys[first] >> 32

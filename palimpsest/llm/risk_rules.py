@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table, text_bytes, written
+from ._shared import kept, table, text_bytes, written
 from ._words import WordTable, repeated_windows, sums
 from .token_files import slices
 
@@ -44,9 +44,6 @@ def describe(words: list[bytes]) -> np.ndarray:
     return out
 
 
-WORDS: list[WordTable] = []
-
-
 def dup_lines(text: bytes) -> tuple[int, int]:
     """Lines with a word that equal an earlier line, and lines with a word."""
     lines = [x for x in text.split(b"\n") if x and not x.isspace()]
@@ -57,9 +54,7 @@ def signals(docs: DataFrame) -> DataFrame:
     """The base counts and SIGNALS of each row of docs (doc_id, lang, text)."""
 
     def work(batches):
-        if not WORDS:
-            WORDS.append(WordTable(3, describe))
-        memo = WORDS[0]
+        memo = kept("risk_rules", lambda: WordTable(3, describe))
         for batch in batches:
             all_texts = batch.column(2).to_pylist()
             for x in slices(all_texts):
