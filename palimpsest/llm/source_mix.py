@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ._shared import WORD, table, written
 
-BLOCK, CAP, SHARDS, SEED, BUCKET_ROWS, MAX_SOURCES = 64, 3, 64, 20_240_601, 20_000, 100_000
+BLOCK, CAP, SHARDS, SEED, BUCKET_ROWS, MAX_SOURCES = 64, 3, 64, 20_240_601, 1000, 100_000
 WEIGHTS = (1, 2, 3)
 
 
