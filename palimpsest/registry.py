@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import context, docs, intrinsic, sampling, scoring, slicing, temporal
+from .plans import checks, context, docs, intrinsic, sampling, scoring, slicing, temporal
 
-PARTS = (temporal, intrinsic, scoring, slicing, sampling, context, docs)
+PARTS = (temporal, intrinsic, scoring, slicing, sampling, context, docs, checks)
 QUERIES: dict = {k: v for part in PARTS for k, v in part.QUERIES.items()}
 ORACLES: dict = {k: v for part in PARTS for k, v in part.ORACLES.items()}
