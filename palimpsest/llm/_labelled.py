@@ -24,5 +24,5 @@ def drawn(labels: DataFrame, column: str, most: int, salt: int = 0) -> DataFrame
 
 
 def joined(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """The rows of docs in the sample, with y and share; the sample's size is bounded, so it is sent to all."""
-    return docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(sample), "doc_id")
+    """doc_id and text of docs in the sample, with y and share; the sample's size is bounded, so it is sent to all."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")

@@ -94,12 +94,14 @@ PLAN = "source_no int, source string, source_size long, target double, blocks lo
 
 
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs with size and the seeded number that orders documents."""
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    """doc_id, source, size and the seeded number that orders documents; row holds all columns of docs."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    own = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.struct(*docs.columns).alias("row"))
+    return own.withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id", "size"))
 
 
 def mixed(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
-    """docs (sized(): doc_id, source, size, mix_key, others kept) with source_size, target, taken, passes, extra.
+    """docs (sized()) with source_size, target, taken, passes, extra.
 
     taken is passes times size and the words of extra: [from, to) ranges of the document's words read once more.
     """
@@ -125,7 +127,8 @@ def mixed(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
 
 def materialised(mix: DataFrame, columns: list[str]) -> DataFrame:
     """The mix's documents: passes whole copies of each, and one of the words of extra, joined by a space, if any."""
-    schema, at = mix.select(*columns).schema, columns.index("text")
+    own = [F.col("row")[c].alias(c) for c in columns]
+    schema, at = mix.select(*own).schema, columns.index("text")
 
     def work(batches):
         for batch in batches:
@@ -142,10 +145,10 @@ def materialised(mix: DataFrame, columns: list[str]) -> DataFrame:
             took = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if j == at else took.column(j) for j in range(len(columns))], columns)
 
-    out = mix.select(*columns, "size", "passes", "extra").mapInArrow(work, schema)
+    out = mix.select(*own, F.col("size").alias("mix_size"), F.col("passes").alias("mix_passes"), F.col("extra").alias("mix_extra")).mapInArrow(work, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+    docs = sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("row")
     return mixed(written(docs, "sizes")).select("doc_id", "size", "source_size", "target", "taken")

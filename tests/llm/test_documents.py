@@ -20,7 +20,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 # --- op2 -------------------------------------------------------------------------------------------------------
 def test_mix(docs, rows):
-    got = M.mixed(M.sized(docs.drop("size", "class")), block=8).collect()
+    got = M.mixed(M.sized(docs), block=8).collect()
     assert len(got) == len(rows)
     sizes = defaultdict(int)
     for r in rows:
@@ -33,19 +33,19 @@ def test_mix(docs, rows):
         assert g.taken == g.passes * g["size"] + sum(x["to"] - x["from"] for x in g.extra)
         taken[g.source] += g.taken
     assert all(abs(taken[s] - want[s]) <= 24 for s in want)
-    again = M.mixed(M.sized(docs.drop("size", "class").repartition(7)), block=8).select("doc_id", "size", "taken").collect()
+    again = M.mixed(M.sized(docs.repartition(7)), block=8).select("doc_id", "size", "taken").collect()
     assert Counter((a.doc_id, a["size"], a.taken) for a in again) == Counter((g.doc_id, g["size"], g.taken) for g in got)
 
 
 def test_mix_writes_what_it_takes(docs):
-    own = docs.drop("size", "class")
+    own = docs
     mix = M.mixed(M.sized(own), block=8)
     words = M.materialised(mix, own.columns).select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0]
     assert words == mix.agg(F.sum("taken")).first()[0]
 
 
 def test_mix_of_nothing(no_docs, spark):
-    assert M.mixed(M.sized(no_docs.drop("size", "class"))).collect() == []
+    assert M.mixed(M.sized(no_docs)).collect() == []
     empty = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert [(r.target, r.taken) for r in M.mixed(M.sized(empty)).collect()] == [(0.0, 0), (0.0, 0)]
 
