@@ -127,13 +127,15 @@ class IdMemo:
             lost = self.slot[place] != entries
             entries, place = entries[lost], (place[lost] + 1) & mask
 
+    def shrink(self) -> None:
+        """Keep half of the words: those seen first, which are the frequent ones."""
+        n = self.n = min(self.n, self.most // 2)
+        self.used = int(self.at[n - 1] + self.size[n - 1]) if n else 0
+        self.slot[:] = -1
+        self._place(np.arange(n, dtype=np.int32))
+
     def add(self, h: np.ndarray, other: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
         n, m = self.n, len(h)
-        if n + m > self.most:  # the words seen first are the frequent ones
-            n = self.n = min(n, self.most // 2)
-            self.used = int(self.at[n - 1] + self.size[n - 1]) if n else 0
-            self.slot[:] = -1
-            self._place(np.arange(n, dtype=np.int32))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(ids)] = ids
@@ -150,7 +152,11 @@ class IdMemo:
         miss = np.flatnonzero(entry < 0)
         if len(miss):
             first = miss[np.unique(h[miss], return_index=True)[1]]
-            if len(first) > self.most // 2:
+            if self.n + len(first) > self.most:  # words of these texts may be among those that go
+                self.shrink()
+                miss = np.flatnonzero(self.find(h, other) < 0)
+                first = miss[np.unique(h[miss], return_index=True)[1]]
+            if self.n + len(first) > self.most:
                 if len(texts) > 1:
                     half = len(texts) // 2
                     return self.texts(texts[:half], learn) + self.texts(texts[half:], learn)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ._shared import kept, scratch, table, text_bytes
 from ._words import IdMemo
 
-SHARD_TOKENS, END_ID, MEMO, PART_BYTES = 1 << 18, 1, 800_000, 1 << 21
+SHARD_TOKENS, END_ID, MEMO, PART_BYTES = 1 << 18, 1, 800_000, 1 << 20
 ROUNDS, LEAST, SLOTS = 5, 8, 17
 #: What the tokenizer file names as its pattern.
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -271,12 +271,12 @@ class Frame:
         return ids, sums[self.places]
 
 
-def slices(texts: list[bytes]) -> Iterator[slice]:
-    """Parts of a batch of about PART_BYTES, so that few words are objects at a time."""
+def slices(texts: list[bytes], most: int = PART_BYTES) -> Iterator[slice]:
+    """Parts of a batch of about `most` bytes, so that few words are objects at a time."""
     at, size = 0, 0
     for k, x in enumerate(texts):
         size += len(x)
-        if size >= PART_BYTES:
+        if size >= most:
             yield slice(at, k + 1)
             at, size = k + 1, 0
     if at < len(texts):
@@ -301,7 +301,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None) -> Non
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for x in slices(texts):
+            for x in slices(texts, 2 * PART_BYTES):
                 for doc, found in zip(names[x], enc.ids(texts[x])):
                     own.append(doc)
                     ids.append(found)
