@@ -7,10 +7,10 @@ A list is read by a set only where sizes and places still allow the needed overl
 their parities (a bit for each slot of a hash of about a set's size) don't already differ too often, which is exact. The boundary is where the number
 of subsets and list entries, weighed by LIST_COST, is smallest; it follows from the histogram of small sizes.
 
-What is asked for are the classes' connected components, so not all pairs of a list are written. Each round, every
-class of a list that still holds several components tries one other class, the list's pivot under a seeded order; the
-two sets are compared exactly, and components grow by the links found. When few pairs between different components
-are left, all of them are compared, which makes the result whole: every pair that could link is either compared or
+What is asked for are the classes' connected components, so not all pairs of a list are written. In a few rounds, every
+class of a list that still holds several components tries others, the lists' pivots under seeded orders; the sets are
+compared exactly, and components grow by the links found. Then all pairs between different components that are left
+are compared, each once, which makes the result whole: every pair that could link is either compared or
 already connected. So a group of thousands of near copies costs a few comparisons for each, not its square.
 
 The order of shingles, rare ones first, comes from counts of shingles that repeat within a part of a task, added up in
@@ -40,7 +40,13 @@ from ._shared import WORD, dropped, released, table, text_bytes, written
 from ._words import word_hashes
 from .token_files import slices
 
-SLOTS, CHUNK, LEAST_COUNT, LIST_COST, LARGEST_LIGHT, ROUNDS = 1 << 20, 1 << 21, 3, 4.0, 40, 8
+SLOTS, CHUNK, LEAST_COUNT, LIST_COST, LARGEST_LIGHT, SMALL = 1 << 20, 1 << 21, 3, 4.0, 40, 50_000
+#: Pivots of a group that a class may try, round by round; then comes what is left.
+PIVOTS = (1, 12)
+#: Lists are crowded if their entries could form more than four pairs each and so many more.
+CROWD = 100_000
+#: Sets of at most so many shingles are told apart by 256 slots.
+SHORT = 600
 
 
 # --- sizes -----------------------------------------------------------------------------------------------------
@@ -119,6 +125,12 @@ def parity(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s >> np.uint64(9) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).tobytes()
 
 
+def short_parity(s: np.ndarray) -> list[int]:
+    """The parity of 256 slots as four whole numbers."""
+    bits = np.bincount((s >> np.uint64(9) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(bits).view("<i8").tolist()
+
+
 def differing(x: bytes, y: bytes) -> int:
     """At most the number of shingles that are in one of two sets only, from their parities."""
     if len(x) > len(y):
@@ -129,7 +141,7 @@ def differing(x: bytes, y: bytes) -> int:
     return (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
 
 
-SETS = "doc_id long, n_shingles long, class long, second long, text_hash long, parity binary, slots binary, counts binary"
+SETS = "doc_id long, n_shingles long, class long, second long, text_hash long, parity binary, short array<long>, slots binary, counts binary"
 
 
 def set_table(docs: DataFrame, width: int, seed: int) -> DataFrame:
@@ -148,7 +160,7 @@ def set_table(docs: DataFrame, width: int, seed: int) -> DataFrame:
             total = np.bincount(slot, n[keep]).astype("<i4") if len(slot) else np.zeros(0, "<i4")
             at = np.flatnonzero(total).astype("<i4")
             none = pa.nulls(1, pa.int64())
-            return pa.RecordBatch.from_arrays([none] * 5 + [pa.nulls(1, pa.binary()), pa.array([at.tobytes()], pa.binary()), pa.array([total[at].tobytes()], pa.binary())], ["doc_id", "n_shingles", "class", "second", "text_hash", "parity", "slots", "counts"])
+            return pa.RecordBatch.from_arrays([none] * 5 + [pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), pa.array([at.tobytes()], pa.binary()), pa.array([total[at].tobytes()], pa.binary())], ["doc_id", "n_shingles", "class", "second", "text_hash", "parity", "short", "slots", "counts"])
 
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -156,7 +168,7 @@ def set_table(docs: DataFrame, width: int, seed: int) -> DataFrame:
                 sets = shingle_sets(texts[x], width)
                 names = [digest(s, seed) if len(s) else (None, None) for s in sets]
                 blank = pa.nulls(len(sets), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[x.start : x.stop], pa.array(list(map(len, sets)), pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()), batch.column(2)[x.start : x.stop], pa.array([parity(s) if len(s) else None for s in sets], pa.binary()), blank, blank], ["doc_id", "n_shingles", "class", "second", "text_hash", "parity", "slots", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[x.start : x.stop], pa.array(list(map(len, sets)), pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()), batch.column(2)[x.start : x.stop], pa.array([parity(s) if len(s) else None for s in sets], pa.binary()), pa.array([short_parity(s) if len(s) else None for s in sets], pa.list_(pa.int64())), blank, blank], ["doc_id", "n_shingles", "class", "second", "text_hash", "parity", "short", "slots", "counts"])
                 for s, (name, _) in zip(sets, names):
                     if len(s) and name not in seen:
                         held.append(s)
@@ -235,6 +247,11 @@ def may_link(percent: int, x: str = "x", y: str = "y"):
     return (100 * sx >= percent * sy) & F.when((px == 0) | (py == 0), (px == 0) & (py == 0)).otherwise(heavy)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, to be sent to all tasks of a join if it has at most SMALL rows (all of them narrow), which is counted here."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that their parities don't rule out: linked sets differ in few shingles."""
 
@@ -246,7 +263,7 @@ def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
     own = lambda k: classes.select(F.col("class").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("parity").alias(f"parity_{k}"))
-    return pairs.select("a", "b").join(own("a"), "a").join(own("b"), "b").select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(work, "a long, b long")
+    return own("b").join(own("a").join(small(pairs.select("a", "b")), "a"), "b").select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(work, "a long, b long")
 
 
 def members(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int, seed: int, repeated: bool) -> DataFrame:
@@ -259,8 +276,9 @@ def members(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int,
                 got = [(n, s) for n, s in zip(names[x], shingle_sets(texts[x], width)) if len(s) and digest(s, seed)[0] == n]
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int64()), pa.array([s.astype("<u8").tobytes() for _, s in got], pa.binary())], ["class", "members"])
 
-    chosen = classes.join(wanted, "class").select("class", F.col("row.doc_id").alias("of_id"), F.col("row.text_hash").alias("of_hash"))
-    own = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["of_id"]) & (docs["text_hash"] == chosen["of_hash"])).select("text", "class").mapInArrow(work, "class long, members binary")
+    wanted = small(wanted)
+    chosen = small(written(classes.join(wanted, "class").select("class", F.col("row.doc_id").alias("of_id"), F.col("row.text_hash").alias("of_hash")), "chosen"))
+    own = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))).select("text", "class").mapInArrow(work, "class long, members binary")
     return own.dropDuplicates(["class"]) if repeated else own
 
 
@@ -281,21 +299,75 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     own = lambda k: sets.select(F.col("class").alias(k), F.col("members").alias(f"set_{k}"))
-    return pairs.select("a", "b").join(own("a"), "a").join(own("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(work, "a long, b long")
+    return own("a").join(small(pairs.select("a", "b")), "a").join(own("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(work, "a long, b long")
+
+
+def united(edges: DataFrame) -> DataFrame:
+    """class, component of at most SMALL edges (a, b), in one task."""
+
+    def work(batches):
+        of: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up_ := of.setdefault(x, x)) != x:
+                of[x] = x = of[up_] = of.setdefault(up_, up_)
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = root(a), root(b)
+                if a != b:
+                    of[max(a, b)] = min(a, b)
+        names = list(of)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([root(x) for x in names], pa.int64())], ["class", "component"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(work, "class long, component long")
 
 
 def components(edges: DataFrame, name: str = "links") -> DataFrame:
-    """class, component of every class in edges (a, b): each step contracts every class into its least neighbour."""
-    edges, known = written(edges.filter("a <> b").distinct(), name), None
+    """class, component of every class in edges (a, b).
+
+    Each step contracts every class into its least neighbour, until SMALL edges are left, which one task unites.
+    """
+    edges, known = written(edges.filter("a <> b"), name), None
     while True:
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = written(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")), name)
-        known_next = step.select(F.col("a").alias("class"), F.col("to").alias("component")) if known is None else known.join(step, known["component"] == step["a"], "left").select("class", F.coalesce("to", "component").alias("component"))
-        known = written(known_next, name)
+        last = edges.limit(SMALL + 1).count() <= SMALL
+        if last:
+            step = united(edges).select(F.col("class").alias("a"), F.col("component").alias("to"))
+        else:
+            both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            step = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to"))
+        step = written(step, name)
+        known = step.select(F.col("a").alias("class"), F.col("to").alias("component")) if known is None else written(known.join(step, known["component"] == step["a"], "left").select("class", F.coalesce("to", "component").alias("component")), name)
+        if last:
+            return known
         to = lambda k: step.select(F.col("a").alias(k), F.col("to").alias(f"to_{k}"))
         edges = written(edges.join(to("a"), "a").join(to("b"), "b").filter("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), name)
-        if edges.isEmpty():
-            return known
+
+
+def remaining(left: DataFrame, classes: DataFrame, percent: int, crowded: bool) -> DataFrame:
+    """All pairs (a, b) of classes of different components that may link, with the larger size.
+
+    If lists are crowded with pairs, a pair counts in the list of its first common key only: an entry carries its
+    class's earlier keys (at most a prefix of them), and if two entries have one in common they have met before; and
+    short parities rule out most pairs. Else pairs that meet again are merged after the join, as entries stay narrow.
+    """
+    first = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.class") < F.col("y.class")))
+    meet = (F.col("x.key") == F.col("y.key")) & first & (F.col("x.component") != F.col("y.component")) & may_link(percent)
+    pair = (F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+    if not crowded:
+        narrow = left.select("key", "class", "size", "place", "component")
+        return narrow.alias("x").join(narrow.alias("y"), meet).select(*pair, F.col("y.size").alias("size")).distinct()
+    own = left.groupBy("class", "size", "component").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("at"))
+    own = own.join(classes.select("class", "short"), "class")
+    keys = F.transform("at", lambda x: x["key"])
+    spread = own.select("class", "size", "component", "short", keys.alias("keys"), F.posexplode("at").alias("i", "e"))
+    entry = spread.select(F.col("e.key").alias("key"), "class", "size", F.col("e.place").alias("place"), "component", "short", F.slice("keys", F.lit(1), F.col("i")).alias("earlier"))
+    x, y = entry.alias("x"), entry.alias("y")
+    differ = sum((F.bit_count(F.col("x.short")[i].bitwiseXOR(F.col("y.short")[i])) for i in range(4)), F.lit(0))
+    near = differ * (100 + percent) <= (100 - percent) * (F.col("x.size") + F.col("y.size"))
+    met = F.arrays_overlap("x.earlier", "y.earlier")
+    return x.join(y, meet & near & ~met).select(*pair, F.col("y.size").alias("size")).distinct()
 
 
 def linked_classes(docs: DataFrame, sets: DataFrame, classes: DataFrame, width: int, percent: int, seed: int) -> DataFrame | None:
@@ -312,31 +384,36 @@ def linked_classes(docs: DataFrame, sets: DataFrame, classes: DataFrame, width:
         return None
     repeated = not sets.filter("slots IS NULL").groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty()
     links, known, left = None, None, shared
-    for k in range(ROUNDS + 1):
-        named = left.drop("component") if known is None else left.drop("component").join(known, "class", "left")
-        named = named.withColumn("component", F.coalesce("component", "class") if known is not None else F.col("class"))
-        own = Window.partitionBy("key")
-        left = written(named.repartition("key").withColumn("low", F.min("component").over(own)).withColumn("high", F.max("component").over(own)).filter("low <> high").drop("low", "high"), "left")
-        by = left.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("squares"))
-        n, pairs = by.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2)).first()
+    by_key, by_group = Window.partitionBy("key"), Window.partitionBy("key", "component")
+    for k in range(len(PIVOTS) + 1):
+        rows = left.select("key", "class", "size", "place")
+        named = rows.withColumn("component", F.col("class")) if known is None else rows.join(small(known), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        order = F.xxhash64(F.lit(k), F.pmod(F.col("key"), F.lit(PIVOTS[min(k, len(PIVOTS) - 1)])), "class")
+        pivot = F.min(F.struct(order.alias("order"), "class", "size", "place", "component")).over(by_key)
+        named = named.repartition("key").withColumn("low", F.min("component").over(by_key)).withColumn("high", F.max("component").over(by_key)).withColumn("others", F.count(F.lit(1)).over(by_key) - F.count(F.lit(1)).over(by_group))
+        left = written(named.withColumn("pivot", pivot).filter("low <> high").drop("low", "high"), "left")
+        n, pairs = left.agg(F.count(F.lit(1)), F.sum("others") / 2).first()
         if not n:
             break
-        last = pairs <= 4 * n + 100_000 or k == ROUNDS
+        crowded = pairs > 4 * n + CROWD
+        last = not crowded or k == len(PIVOTS)
         if last:
-            x, y = left.alias("x"), left.alias("y")
-            first = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.class") < F.col("y.class")))
-            tried = x.join(y, (F.col("x.key") == F.col("y.key")) & first & (F.col("x.component") != F.col("y.component")) & may_link(percent)).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+            tried = remaining(left, classes, percent, crowded)
         else:
-            pivot = left.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(k), "class").alias("order"), "class", "size", "place", "component")).alias("p")).select("key", "p.class", "p.size", "p.place", "p.component")
-            x, y = left.alias("x"), pivot.alias("y")
+            both = left.select("key", F.struct("class", "size", "place", "component").alias("x"), F.col("pivot").alias("y"))
             forth, back = may_link(percent), may_link(percent, "y", "x")
-            smaller = F.col("x.size") <= F.col("y.size")
-            meets = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((smaller & forth) | (~smaller & back) | ((F.col("x.size") == F.col("y.size")) & back)))
-            votes = meets.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).count()
-            tried = votes.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-        tried = written(possible(tried, classes, percent), "tried")
-        ends = tried.select(F.col("a").alias("class")).union(tried.select(F.col("b").alias("class"))).distinct()
-        own_sets = written(members(docs, classes, ends, width, seed, repeated), "members")
+            as_large, smaller = F.col("x.size") >= F.col("y.size"), F.col("x.size") <= F.col("y.size")
+            meets = both.filter((F.col("x.component") != F.col("y.component")) & ((smaller & forth) | (as_large & back)))
+            votes = meets.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).groupBy("a", "b").count()
+            tried = votes.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")) if PIVOTS[k] == 1 else votes.select("a", "b")
+        tried = written(tried, "pairs")
+        if last and crowded:  # short parities have ruled out what longer ones would, but for large sets
+            tried = tried.filter(F.col("size") <= SHORT).select("a", "b").unionByName(possible(tried.filter(F.col("size") > SHORT), classes, percent))
+        else:
+            tried = possible(tried, classes, percent)
+        tried = written(tried, "tried")
+        ends = tried.select(F.col("a").alias("class")).distinct().union(tried.select(F.col("b").alias("class")).distinct()).distinct()
+        own_sets = written(members(docs, classes, written(ends, "ends"), width, seed, repeated), "members")
         found = written(compared(tried, own_sets, percent), "found")
         dropped(own_sets)
         released(spark)
@@ -361,8 +438,8 @@ def joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
     docs = prepared(docs)
     for seed in range(8):
         sets = written(set_table(docs, width, seed), "sets")
-        rows = sets.filter("slots IS NULL").select("doc_id", "n_shingles", "class", "second", "text_hash", "parity")
-        names = written(rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.min("second").alias("low"), F.max("second").alias("high"), F.min("n_shingles").alias("n_shingles"), F.min("parity").alias("parity"), F.min(F.struct("doc_id", "text_hash")).alias("row")), "classes")
+        rows = sets.filter("slots IS NULL").select("doc_id", "n_shingles", "class", "second", "text_hash", "parity", "short")
+        names = written(rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.min("second").alias("low"), F.max("second").alias("high"), F.min("n_shingles").alias("n_shingles"), F.min(F.struct("parity", "short")).alias("p"), F.min(F.struct("doc_id", "text_hash")).alias("row")).select("class", "least", "low", "high", "n_shingles", "p.parity", "p.short", "row"), "classes")
         if names.filter("low <> high").isEmpty():
             break
     known = linked_classes(docs, sets, names, width, percent, seed)

@@ -139,9 +139,10 @@ def slow_components(rows, width, percent):
     return Counter((r[0], len(s), least[k] if s else r[0]) for r, s, k in zip(rows, sets, of))
 
 
-@pytest.mark.parametrize(("width", "percent", "small"), [(4, 85, 50_000), (5, 80, 50_000), (2, 60, 50_000), (4, 85, 0)])
-def test_components(docs, rows, monkeypatch, width, percent, small):
+@pytest.mark.parametrize(("width", "percent", "small", "crowd"), [(4, 85, 50_000, 100_000), (5, 80, 50_000, -(10**9)), (2, 60, 50_000, 100_000), (4, 85, 0, -(10**9)), (4, 85, 0, 100_000)])
+def test_components(docs, rows, monkeypatch, width, percent, small, crowd):
     monkeypatch.setattr(J, "SMALL", small)
+    monkeypatch.setattr(J, "CROWD", crowd)
     got = J.joined(docs, width, percent).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == slow_components(rows, width, percent)
 
@@ -173,6 +174,7 @@ def test_rounds_of_pivots(spark, monkeypatch):
     base = [f"b{i}" for i in range(90)]
     rows += [(100 + k, " ".join([*base[:k % 90], f"q{k}", *base[k % 90 + 1 :]])) for k in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(J, "CROWD", -(10**9))
     got = J.joined(df, 3, 85).collect()
     assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == slow_components(rows, 3, 85)
 
