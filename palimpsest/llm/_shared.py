@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +56,6 @@ def dropped(df: DataFrame) -> None:
 
 def released(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of stages whose results are already written."""
-    import gc
-
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -81,6 +82,16 @@ def held_out(name: str = "doc_id") -> Column:
     return (F.crc32(F.col(name).cast("string")) % 3) == 1
 
 
+def trimmed() -> None:
+    """Give memory that this worker has freed back to the system, as far as its allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 #: What one operator keeps in a worker process from task to task.
 KEPT: dict = {}
 
@@ -89,6 +100,8 @@ def kept(name, make):
     """The memo of this name in this worker, made if need be. Only the last operator's stays, so that an executor that
     runs one operator after the other doesn't hold the memos of all."""
     if name not in KEPT:
-        KEPT.clear()
+        if KEPT:
+            KEPT.clear()
+            trimmed()
         KEPT[name] = make()
     return KEPT[name]

@@ -7,7 +7,7 @@ from itertools import chain, islice
 
 import numpy as np
 
-MEMO = 250_000
+MEMO = 150_000
 
 
 class WordTable:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import WORD, dropped, released, table, text_bytes, written
+from ._shared import WORD, dropped, released, table, text_bytes, trimmed, written
 from ._words import word_hashes
 from .token_files import slices
 
@@ -179,6 +179,8 @@ def set_table(docs: DataFrame, width: int, seed: int) -> DataFrame:
                     held, size, seen = [], 0, set()
         if held:
             yield counted()
+        held.clear()
+        trimmed()
 
     return docs.mapInArrow(work, SETS)
 

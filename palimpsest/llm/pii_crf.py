@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import table, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
@@ -371,6 +371,7 @@ def redacted(docs: DataFrame) -> DataFrame:
             columns = list(batch.columns)
             columns[at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
+        trimmed()
 
     out = docs.mapInArrow(work, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import WORD, table, written
+from ._shared import WORD, table, trimmed, written
 
 BLOCK, CAP, SHARDS, SEED, BUCKET_ROWS, MAX_SOURCES = 64, 3, 64, 20_240_601, 1000, 100_000
 WEIGHTS = (1, 2, 3)
@@ -144,6 +144,7 @@ def materialised(mix: DataFrame, columns: list[str]) -> DataFrame:
                     new.append(b" ".join(w for x in extra for w in words[x["from"] : x["to"]]).decode())
             took = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if j == at else took.column(j) for j in range(len(columns))], columns)
+        trimmed()
 
     out = mix.select(*own, F.col("size").alias("mix_size"), F.col("passes").alias("mix_passes"), F.col("extra").alias("mix_extra")).mapInArrow(work, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in columns else out

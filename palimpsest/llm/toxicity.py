@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ._boost import Isotonic, Trees
 from ._labelled import drawn, joined
-from ._shared import held_out, table, text_bytes
+from ._shared import held_out, kept, table, text_bytes, trimmed
 from ._words import WordTable, sums
 from .token_files import slices
 
@@ -126,17 +126,14 @@ class Model:
     """Features, trees and calibration, as sent to executors: a few hundred numbers."""
 
     def __init__(self, lexicon: dict[str, float], trees: Trees | None, curve: Isotonic | None, rate: float):
-        self.lexicon, self.trees, self.curve, self.rate, self.features = lexicon, trees, curve, rate, None
-
-    def __getstate__(self):
-        return {**self.__dict__, "features": None}
+        self.lexicon, self.trees, self.curve, self.rate = lexicon, trees, curve, rate
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.trees is None:
             return np.full(len(texts), self.rate)
-        if self.features is None:
-            self.features = Features(self.lexicon)
-        return np.clip(self.curve.rates(self.trees.margin(self.features.rows(texts))), 0.0, 1.0)
+        name = ("toxicity", hash(tuple(sorted(self.lexicon.items()))))
+        rows = kept(name, lambda: Features(self.lexicon)).rows(texts)
+        return np.clip(self.curve.rates(self.trees.margin(rows)), 0.0, 1.0)
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
@@ -181,6 +178,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             texts = [x.encode() if x is not None else b"" for x in batch.column(at).to_pylist()]
             found = [own.scores(texts[x]) for x in slices(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else [], pa.float64())], [*names, "toxicity"])
+        trimmed()
 
     return docs.select(*names).mapInArrow(work, schema)
 

@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import kept, table, text_bytes
+from ._shared import kept, table, text_bytes, trimmed
 from ._words import IdMemo
 from .token_files import MARK, NOT_PLAIN, PATTERN, cut, default_tokenizer, slices
 
-MEMO, PAIRS = 250_000, 400_000
+MEMO, PAIRS = 150_000, 200_000
 
 
 class TrieEncoder:
@@ -66,7 +66,7 @@ class TrieEncoder:
             node[""] = i
         self.fits: dict[int, bool] = {}
         self.edges: dict[tuple[str, bool], list | None] = {}
-        self.memo = IdMemo(self.kind, 2 * MEMO)
+        self.memo = IdMemo(self.kind, 3 * MEMO)
         self.piece: dict[str, bytes] = {}
 
     def merged(self, symbols: list[str]) -> tuple[list[str], tuple[str, str] | None]:
@@ -226,6 +226,7 @@ def encode_and_decode(docs: DataFrame, tokenizer: str | None = None) -> DataFram
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0)[x.start : x.stop], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32))), pa.array([enc.decode(i) for i in ids], pa.string()),
                 ], ["doc_id", "ids", "decoded"])
+        trimmed()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(work, "doc_id long, ids array<int>, decoded string")
 
