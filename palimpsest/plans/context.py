@@ -10,12 +10,13 @@ from ..operators import summaries as M
 from . import adaptors as A
 
 QUERIES, ORACLES = {}, {}
-#: A file for each nation and segment, at the snapshots in which one of its customers ordered much; a text with a definition.
+#: A file for each customer, at the snapshots (quarters) in which they ordered; a text with a definition. All orders count.
 FILES = """SELECT repo, slice_idx, file_path, concat('# ', file_path, chr(10), repeat('x = 1;', CAST(n % 40 AS INT)), ' def f', CAST(n % 3 AS VARCHAR(9)), '(a): pass ', repeat('y;', CAST(n % 50 AS INT))) AS content FROM (
- SELECT c.c_mktsegment AS repo, CAST((year(o.o_orderdate) - 1995) * 4 + floor((month(o.o_orderdate) - 1) / 3) AS INT) AS slice_idx, concat('src/n', CAST(c.c_nationkey AS VARCHAR(9)), CASE WHEN c.c_nationkey % 2 = 0 THEN '.py' ELSE '.java' END) AS file_path, MAX(o.o_orderkey) AS n
- FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderkey % 5 = 0 GROUP BY 1, 2, 3) f"""
-QUESTIONS = """SELECT s_suppkey AS q, r.repo, concat('src/n', CAST(s_nationkey AS VARCHAR(9)), CASE WHEN s_nationkey % 2 = 0 THEN '.py' ELSE '.java' END) AS file_path, concat('C.f', CAST(s_suppkey % 4 AS VARCHAR(9))) AS symbol,
- CAST(s_suppkey % 28 AS INT) AS slice_idx, CAST(s_suppkey % 20 AS INT) AS from_idx, CAST(s_suppkey % 20 + s_suppkey % 7 AS INT) AS to_idx FROM supplier JOIN (SELECT DISTINCT c_mktsegment AS repo FROM customer) r ON s_suppkey % 5 = length(r.repo) % 5"""
+ SELECT c.c_mktsegment AS repo, CAST((year(o.o_orderdate) - 1995) * 4 + floor((month(o.o_orderdate) - 1) / 3) AS INT) AS slice_idx, concat('src/n', CAST(c.c_custkey AS VARCHAR(20)), CASE WHEN c.c_custkey % 2 = 0 THEN '.py' ELSE '.java' END) AS file_path, MAX(o.o_orderkey) AS n
+ FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1, 2, 3) f"""
+#: Every supplier asks once, of the file of the customer with its key; those without such a customer ask in a repo without files.
+QUESTIONS = """SELECT s_suppkey AS q, COALESCE(c.c_mktsegment, 'NONE') AS repo, concat('src/n', CAST(s_suppkey AS VARCHAR(20)), CASE WHEN s_suppkey % 2 = 0 THEN '.py' ELSE '.java' END) AS file_path, concat('C.f', CAST(s_suppkey % 4 AS VARCHAR(9))) AS symbol,
+ CAST(s_suppkey % 28 AS INT) AS slice_idx, CAST(s_suppkey % 20 AS INT) AS from_idx, CAST(s_suppkey % 20 + s_suppkey % 7 AS INT) AS to_idx FROM supplier LEFT JOIN customer c ON c.c_custkey = s_suppkey"""
 WINDOW = 100
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from palimpsest.plans import adaptors as A
+from palimpsest.plans import context
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +31,19 @@ def test_classes_come_from_all_lines(spark, frames):
     got = A.classes(spark, SF).collect()
     assert {(r.repo, r.slice_idx, r.name): tuple(map(set, (r.base_classes, r.implemented_interfaces, r.methods, r.fields))) for r in got} == want and len(got) == len(want)
     assert len({k[1] for k in want}) * len({(k[0], k[2]) for k in want}) > len(want)  # some classes are absent from some snapshots
+
+
+def test_files_come_from_all_orders_and_every_supplier_asks(spark, frames):
+    own = {c.c_custkey: (c.c_mktsegment, f"src/n{c.c_custkey}.{'java' if c.c_custkey % 2 else 'py'}") for c in frames["customer"].itertuples()}
+    last: dict = {}
+    for o in frames["orders"].itertuples():
+        repo, path = own[o.o_custkey]
+        k = repo, (o.o_orderdate.year - 1995) * 4 + (o.o_orderdate.month - 1) // 3, path
+        last[k] = max(last.get(k, 0), o.o_orderkey)
+    text = lambda path, n: f"# {path}\n{'x = 1;' * (n % 40)} def f{n % 3}(a): pass {'y;' * (n % 50)}"
+    got = {(r.repo, r.slice_idx, r.file_path): r.content for r in context.files(spark, SF).collect()}
+    assert got == {k: text(k[2], n) for k, n in last.items()}
+    assert len({k[1] for k in last}) * len({(k[0], k[2]) for k in last}) > len(last)  # some files are absent from some snapshots
+    asked = context.questions(spark, SF).collect()
+    assert sorted(r.q for r in asked) == sorted(frames["supplier"].s_suppkey)
+    assert any((r.repo, i, r.file_path) in got for r in asked for i in range(28))
