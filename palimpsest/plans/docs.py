@@ -9,8 +9,8 @@ from ..functions.symbols import first_sentence
 from . import adaptors as A
 
 QUERIES, ORACLES = {}, {}
-TEXTS = """SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN concat('\"\"\"', text) WHEN 1 THEN concat(text, chr(10), ' ', chr(10), 'more') WHEN 2 THEN concat('  >>> f(x)', chr(10), text) WHEN 3 THEN concat(text, '<b>') WHEN 4 THEN concat('f\"', substr(text, 1, 30)) WHEN 5 THEN concat('{a} {b}', text, '{c}') ELSE text END AS doc FROM documents"""
-PARTS = """SELECT conv_id, turn, substr(text, 1, 40) AS head, CASE turn % 4 WHEN 0 THEN 'will be' WHEN 1 THEN '' WHEN 2 THEN ' is ' ELSE 'has  been  so' END AS aux, CASE WHEN conv_id % 6 = 0 THEN 'the function returns a value' WHEN conv_id % 6 = 1 THEN text ELSE concat('What does This  Method of ', CAST(conv_id AS VARCHAR(9)), ' do?') END AS question,
+TEXTS = """SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN concat('\"\"\"', text) WHEN 1 THEN concat(text, chr(10), ' ', chr(10), 'more') WHEN 2 THEN concat('  >>> f(x)', chr(10), text) WHEN 3 THEN concat(text, '<b>') WHEN 4 THEN concat('f\"', text) WHEN 5 THEN concat('{a} {b}', text, '{c}') ELSE text END AS doc FROM documents"""
+PARTS = """SELECT conv_id, turn, text AS head, CASE turn % 4 WHEN 0 THEN 'will be' WHEN 1 THEN '' WHEN 2 THEN ' is ' ELSE 'has  been  so' END AS aux, CASE WHEN conv_id % 6 = 0 THEN 'the function returns a value' WHEN conv_id % 6 = 1 THEN text ELSE concat('What does This  Method of ', CAST(conv_id AS VARCHAR(9)), ' do?') END AS question,
  CASE WHEN turn % 5 = 0 THEN 'one two' WHEN turn % 5 = 1 THEN 'a {b} c d' WHEN turn % 5 = 2 THEN 'see <a href' ELSE 'three words here' END AS answer, CASE WHEN conv_id % 4 = 0 THEN 'yesno' ELSE 'wh_object' END AS subtype FROM conversations"""
 
 

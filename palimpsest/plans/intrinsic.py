@@ -96,11 +96,11 @@ def all_questions(spark, sf_dir):
     f, slices = tables(spark, sf_dir, "function")
     lab = O.labelled(f, slices)
     own = O.function_fact(f, slices, "function_return_type")
-    doc = qa_rows(lab.filter("ord % 5 = 0"), "extrinsic", "wh_object", F.concat(F.lit("What does "), F.col("ref"), F.lit(" return?")), S.text(F.col("return_type")), F.col("ref"), F.col("file_path"), kind="function", slice_id=F.col("slice_id"))
+    doc = qa_rows(lab, "extrinsic", "wh_object", F.concat(F.lit("What does "), F.col("ref"), F.lit(" return?")), S.text(F.col("return_type")), F.col("ref"), F.col("file_path"), kind="function", slice_id=F.col("slice_id"))
     return own.unionByName(doc).unionByName(O.existence(f, slices, "function"))
 
 
-_union = ("(SELECT repo, 'intrinsic' AS qa_type, 'function_return_type' AS qa_subtype FROM sym WHERE COALESCE(return_type, '') <> '' UNION ALL SELECT repo, 'extrinsic', 'wh_object' FROM sym WHERE ord % 5 = 0 UNION ALL SELECT repo, 'intrinsic', 'symbol_existence' FROM sym UNION ALL SELECT repo, 'intrinsic', 'symbol_existence' FROM (" + absent_sql("function") + ") n) u")
+_union = ("(SELECT repo, 'intrinsic' AS qa_type, 'function_return_type' AS qa_subtype FROM sym WHERE COALESCE(return_type, '') <> '' UNION ALL SELECT repo, 'extrinsic', 'wh_object' FROM sym UNION ALL SELECT repo, 'intrinsic', 'symbol_existence' FROM sym UNION ALL SELECT repo, 'intrinsic', 'symbol_existence' FROM (" + absent_sql("function") + ") n) u")
 
 
 @register("qa_union_all", A.symbols_cte("function", False) + f" SELECT repo, qa_type, qa_subtype, COUNT(*) AS n FROM {_union} GROUP BY ALL")

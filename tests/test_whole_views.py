@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from palimpsest.plans import adaptors as A
-from palimpsest.plans import context
+from palimpsest.plans import context, docs, intrinsic
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +47,17 @@ def test_files_come_from_all_orders_and_every_supplier_asks(spark, frames):
     asked = context.questions(spark, SF).collect()
     assert sorted(r.q for r in asked) == sorted(frames["supplier"].s_suppkey)
     assert any((r.repo, i, r.file_path) in got for r in asked for i in range(28))
+
+
+def test_texts_are_whole(spark):
+    turns = {(r.conv_id, r.turn, r.text) for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    assert {(r.conv_id, r.turn, r["head"]) for r in docs.parts(spark, SF).collect()} == turns
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id % 9 = 4").collect()}
+    got = {r.doc_id: r.doc for r in A.sql_over(spark, SF, docs.TEXTS, "documents").filter("doc_id % 9 = 4").collect()}
+    assert got == {k: None if t is None else 'f"' + t for k, t in texts.items()} and any(len(t or "") > 30 for t in texts.values())
+
+
+def test_extrinsic_questions_come_from_all_functions(spark):
+    n = A.public(A.functions(spark, SF)).count()
+    got = {r.qa_type: r.n for r in intrinsic.qa_union_all(spark, SF).filter("qa_type = 'extrinsic'").groupBy("qa_type").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert got == {"extrinsic": n}
