@@ -1,10 +1,12 @@
 """Quality rules with risk-controlled thresholds.
 
 Base rules reject texts of few words or of many repeated ones. Beyond them, each signal has a cutoff for each stratum
-(language): the lowest one that is certain, by an exact binomial (Clopper-Pearson) bound on all labelled good texts of
-the stratum, to reject at most its share of ALPHA of good texts. DELTA is the chance that any bound fails, divided
-over all strata, signals and cutoffs that are tried (Bonferroni), so the promise holds for all at once. Without enough
-labels no cutoff can be certain, and the stratum is only filtered by the base rules.
+(language) with enough labels, and one for all other languages, pooled from the labels of all: the lowest one that is
+certain, by an exact binomial (Clopper-Pearson) bound on the labelled good texts, to reject at most the signal's share
+of ALPHA of good texts. Cutoffs are tested from the loosest down until one fails; so fixed an order needs no division
+by their number. DELTA is the chance that any bound fails, divided over signals, strata with enough labels and the
+pool. Enough is when a cutoff above all good labels is certain, which follows from numbers of labels only. The pooled
+promise is for all languages together, not for each. If even the pool has too few, there are only the base rules.
 
 One pass over the texts makes the table of signals. Labels meet it in a join by doc_id, and only counts by (stratum,
 signal, cutoff) come to the driver: at most MAX_STRATA * signals * cutoffs, whatever the input.
@@ -30,6 +32,8 @@ from .token_files import slices
 ALPHA, DELTA, MAX_STRATA, CUTOFFS, WINDOW = 0.02, 0.05, 1000, 40, 8
 SYMBOLS = b"#*$%&|<>"
 NOT_SYMBOL = bytes(b for b in range(256) if b not in SYMBOLS)
+#: Stands for all languages without cutoffs of their own; no language is a tuple.
+POOLED = ("pooled",)
 #: The signals are rates from 0 to 1; higher is worse.
 SIGNALS = ("symbol_rate", "shout_rate", "dup_line_rate", "repeat_rate", "stutter_rate")
 FOUND = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"{s} double" for s in SIGNALS)
@@ -103,35 +107,51 @@ def base_failed():
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
+def own_strata(sizes: dict, alpha: float = ALPHA, delta: float = DELTA) -> tuple[list, float]:
+    """The strata with enough good labels for cutoffs of their own, and the delta of each test. sizes: {lang: labels}."""
+    order = sorted(sizes, key=lambda x: (-sizes[x], x is None, x or ""))
+    enough = lambda m: upper_bound(0, sizes[order[m - 1]], delta / ((m + 1) * len(SIGNALS))) <= alpha / len(SIGNALS)
+    m = next((m for m in range(len(order), 0, -1) if enough(m)), 0)
+    return order[:m], delta / ((m + 1) * len(SIGNALS))
+
+
 def thresholds(found: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict:
-    """{(lang, signal): cutoff}: values of cutoff and above are rejected. found: signals(); labels: (doc_id, quality)."""
+    """{(lang, signal): cutoff}: values above are rejected; POOLED is all languages that have none. found: signals(); labels: (doc_id, quality)."""
     good = labels.filter("quality = 1").select("doc_id")
     grade = lambda s: F.ceil(F.col(s) * CUTOFFS - 1e-9).cast("int")  # noqa: E731  cutoff j/CUTOFFS rejects grades above j
     each = F.explode(F.array(*(F.struct(F.lit(s).alias("signal"), grade(s).alias("grade")) for s in SIGNALS)))
     counts = found.filter(~base_failed()).join(good, "doc_id").select("lang", each.alias("x")).groupBy("lang", "x.signal", "x.grade").count().limit(MAX_STRATA * len(SIGNALS) * (CUTOFFS + 1) + 1).collect()
-    strata = {r.lang for r in counts}
-    if len(strata) > MAX_STRATA:
+    seen: dict = {}
+    for r in counts:
+        for lang in (r.lang, POOLED):
+            seen.setdefault(lang, {s: np.zeros(CUTOFFS + 1, np.int64) for s in SIGNALS})[r.signal][min(max(r.grade, 0), CUTOFFS)] += r["count"]
+    sizes = {lang: int(x[SIGNALS[0]].sum()) for lang, x in seen.items() if lang != POOLED}
+    if len(sizes) > MAX_STRATA:
         raise ValueError(f"over {MAX_STRATA} strata")
-    each_delta, out = delta / max(1, len(strata) * len(SIGNALS) * CUTOFFS), {}
-    for lang in strata:
+    own, each_delta = own_strata(sizes, alpha, delta)
+    out = {}
+    for lang in [*own, *([POOLED] if seen else [])]:
         for s in SIGNALS:
-            seen = np.zeros(CUTOFFS + 1, np.int64)
-            for r in counts:
-                if r.lang == lang and r.signal == s:
-                    seen[min(max(r.grade, 0), CUTOFFS)] += r["count"]
-            n = int(seen.sum())
-            ok = [j for j in range(CUTOFFS) if upper_bound(int(seen[j + 1 :].sum()), n, each_delta) <= alpha / len(SIGNALS)]
-            if ok:
-                out[lang, s] = min(ok) / CUTOFFS
+            n, cut = int(seen[lang][s].sum()), CUTOFFS
+            while cut and upper_bound(int(seen[lang][s][cut:].sum()), n, each_delta) <= alpha / len(SIGNALS):
+                cut -= 1
+            if cut < CUTOFFS or lang != POOLED:  # a stratum of its own without a certain cutoff rejects nothing, whatever the pool does
+                out[lang, s] = cut / CUTOFFS
     return out
 
 
 def judged(found: DataFrame, cutoffs: dict) -> DataFrame:
     """found with base_failed, rule (the first signal at fault, or null) and kept."""
     rule = F.lit(None).cast("string")
-    for (lang, s), cutoff in sorted(cutoffs.items(), key=lambda x: (str(x[0][0]), -SIGNALS.index(x[0][1]))):
-        grade = F.ceil(F.col(s) * CUTOFFS - 1e-9).cast("int")
-        rule = F.when(F.col("lang").eqNullSafe(F.lit(lang)) & (grade > round(cutoff * CUTOFFS)), s).otherwise(rule)
+    for s in reversed(SIGNALS):
+        most = F.lit(round(cutoffs.get((POOLED, s), 1.0) * CUTOFFS))
+        own = [(lang, round(cutoff * CUTOFFS)) for (lang, of), cutoff in cutoffs.items() if of == s and lang != POOLED]
+        if own:
+            chain = F
+            for lang, cutoff in own:
+                chain = chain.when(F.col("lang").eqNullSafe(F.lit(lang)), cutoff)
+            most = chain.otherwise(most)
+        rule = F.when(F.ceil(F.col(s) * CUTOFFS - 1e-9).cast("int") > most, s).otherwise(rule)
     return found.withColumn("base_failed", base_failed()).withColumn("rule", rule).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
