@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import blake2b
 from itertools import chain, islice
 
 import numpy as np
@@ -44,22 +45,36 @@ class WordTable:
         return self.room
 
 
-LETTERS = np.random.default_rng(20_240_601).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-OTHER_LETTERS = np.random.default_rng(20_240_602).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = 0x9E3779B97F4A7C15 & ~7 | 5
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
-POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def powers(n: int) -> list[np.ndarray]:
-    """BASE and its inverse modulo 2**64 to the powers up to n."""
-    if len(POWERS[0]) < n:
-        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            POWERS[k] = np.multiply.accumulate(steps)
-    return POWERS
+class WordHashes:
+    """A keyed 64-bit BLAKE2b digest of each word, worked out once a word: a word is its bytes, so no two share one by
+    construction. At most MEMO words are kept."""
+
+    def __init__(self, key: bytes):
+        self.key, self.code = key, {}
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Digests of all words of all texts, and where each text's begin, with the end."""
+        parts = [x.split() for x in texts]
+        new = set().union(*parts) - self.code.keys() if parts else set()
+        if len(self.code) + len(new) > MEMO and self.code:
+            self.code = dict(islice(self.code.items(), MEMO // 2))
+            new = set().union(*parts) - self.code.keys()
+        self.code.update((w, int.from_bytes(blake2b(w, digest_size=8, key=self.key).digest(), "little")) for w in new)
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+        return np.fromiter(map(self.code.__getitem__, chain.from_iterable(parts)), np.uint64, int(ends[-1])), ends
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return WordHashes(b"").of(texts)
+
+
+LANES = 8
+#: For n bytes of a lane, the bits that count.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 class Cut:
@@ -67,54 +82,76 @@ class Cut:
 
     def __init__(self, texts: list[bytes]):
         self.raw = b"\n".join([*texts, b""])
-        self.data = np.frombuffer(self.raw, np.uint8)
-        space = SPACES[self.data]
+        data = np.frombuffer(self.raw, np.uint8)
+        space = SPACES[data]
         change = np.flatnonzero(space[1:] != space[:-1]) + 1
         if len(space) and not space[0]:
             change = np.concatenate([[0], change])
         self.start, self.stop = change[::2], change[1::2]
         ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
         self.ends = np.searchsorted(self.start, np.concatenate([[0], ends]))
+        self.size = self.stop - self.start
+        self.view = np.ndarray(len(data), "<u8", self.raw + bytes(8), strides=(1,))
 
-    def hashes(self, letters: np.ndarray) -> np.ndarray:
-        """A polynomial in each word's bytes, read off one running sum over all texts."""
-        n = len(self.data)
-        power, inverse = powers(n)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(letters[self.data] * power[:n], out=total[1:])
-        h = (total[self.stop] - total[self.start]) * inverse[self.start]
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(29))
-
+    def lane(self, words: np.ndarray, k: int) -> np.ndarray:
+        """Bytes 8 k to 8 k + 7 of the words, which must be longer than 8 k bytes; 0 beyond their end."""
+        return self.view[self.start[words] + 8 * k] & MASKS[np.minimum(self.size[words] - 8 * k, 8)]
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of all texts, and where each text's begin, with the end."""
-    own = Cut(texts)
-    return own.hashes(LETTERS), own.ends
+    def word(self, k: int) -> bytes:
+        return self.raw[self.start[k] : self.stop[k]]
 
 
 class IdMemo:
-    """Ids of words by two 64-bit hashes of each, in arrays: some 30 bytes a word, at most `most` words.
+    """Ids of words in arrays: some 40 bytes a word, at most `most` words. A word is known by its bytes, not by a hash.
 
-    Open addressing with half the slots free at least; a step of probing is one step for all words that still look.
+    Words of up to 8 * LANES bytes lie as whole numbers of 8 bytes in one array; a hash gives the slot where a look-up
+    begins (open addressing, half the slots free at least), and a word is found where its length and all its bytes
+    agree. A step of probing is one step for all words that still look. Longer words are keys of a dict.
     """
 
     def __init__(self, kind: np.dtype, most: int, bits: int = 21):
         self.kind, self.most, self.bits = np.dtype(kind), most, bits
         self.slot, self.n = np.full(1 << bits, -1, np.int32), 0
-        self.key, self.other = np.zeros(most, np.uint64), np.zeros(most, np.uint64)
+        self.key, self.bytes = np.zeros(most, np.uint64), np.zeros(most, np.int32)
+        self.lanes, self.lane_at, self.laid = np.zeros(1 << 12, np.uint64), np.zeros(most, np.int64), 0
         self.at, self.size = np.zeros(most, np.int64), np.zeros(most, np.int32)
         self.ids, self.used = np.zeros(1 << 16, self.kind), 0
-
-    def find(self, h: np.ndarray, other: np.ndarray) -> np.ndarray:
-        """The entry of each word, or -1."""
+        self.long: dict[bytes, int] = {}
+
+    def hashes(self, own: Cut, words: np.ndarray) -> np.ndarray:
+        """Where look-ups of words begin; any two words may share one."""
+        h = own.size[words].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        left, k = np.arange(len(words)), 0
+        while len(left):
+            x = (h[left] ^ own.lane(words[left], k)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            h[left] = x ^ (x >> np.uint64(32))
+            k += 1
+            left = left[own.size[words[left]] > 8 * k]
+        return h
+
+    def _same(self, own: Cut, words: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        """Whether the words are those of the entries, byte by byte."""
+        same = own.size[words] == self.bytes[entries]
+        left, k = np.flatnonzero(same), 0
+        while len(left):
+            w, e = words[left], entries[left]
+            agree = self.lanes[self.lane_at[e] + k] == own.lane(w, k)
+            same[left[~agree]] = False
+            k += 1
+            left = left[agree & (own.size[w] > 8 * k)]
+        return same
+
+    def find(self, own: Cut, words: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The entry of each word of up to 8 * LANES bytes, or -1."""
         out, open_ = np.full(len(h), -1, np.int64), np.arange(len(h))
         place, mask = (h >> np.uint64(64 - self.bits)).astype(np.int64), (1 << self.bits) - 1
         while len(open_):
             e = self.slot[place]
             there = e >= 0
             open_, place, e = open_[there], place[there], e[there]
-            hit = (self.key[e] == h[open_]) & (self.other[e] == other[open_])
+            hit = self.key[e] == h[open_]
+            hit[hit] = self._same(own, words[open_[hit]], e[hit])
             out[open_[hit]] = e[hit]
             open_, place = open_[~hit], (place[~hit] + 1) & mask
         return out
@@ -131,46 +168,83 @@ class IdMemo:
         """Keep half of the words: those seen first, which are the frequent ones."""
         n = self.n = min(self.n, self.most // 2)
         self.used = int(self.at[n - 1] + self.size[n - 1]) if n else 0
+        self.long = {w: e for w, e in self.long.items() if e < n}
+        self.laid = int((self.lane_at[:n] + -(-self.bytes[:n] // 8)).max(initial=0))
         self.slot[:] = -1
-        self._place(np.arange(n, dtype=np.int32))
-
-    def add(self, h: np.ndarray, other: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
-        n, m = self.n, len(h)
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.key[n : n + m], self.other[n : n + m], self.size[n : n + m] = h, other, sizes
-        self.at[n : n + m] = self.used + np.cumsum(sizes) - sizes
-        self.used, self.n = self.used + len(ids), n + m
-        self._place(np.arange(n, n + m, dtype=np.int32))
+        self._place(np.flatnonzero(self.bytes[:n] >= 0).astype(np.int32))
+
+    def _grown(self, name: str, least: int) -> np.ndarray:
+        while len(getattr(self, name)) < least:
+            setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
+        return getattr(self, name)
+
+    def add(self, own: Cut, words: np.ndarray, h: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """New and distinct words with their ids."""
+        n, m = self.n, len(words)
+        self._grown("ids", self.used + len(ids))[self.used : self.used + len(ids)] = ids
+        self.size[n : n + m], self.at[n : n + m] = sizes, self.used + np.cumsum(sizes) - sizes
+        short = own.size[words] <= 8 * LANES
+        need = np.where(short, -(-own.size[words] // 8), 0)
+        self.key[n : n + m], self.bytes[n : n + m] = h, np.where(short, own.size[words], -1)
+        self.lane_at[n : n + m] = self.laid + np.cumsum(need) - need
+        lanes = self._grown("lanes", self.laid + int(need.sum()))
+        for k in range(int(need.max(initial=0))):
+            some = np.flatnonzero(need > k)
+            lanes[self.lane_at[n + some] + k] = own.lane(words[some], k)
+        self.long.update((own.word(words[k]), n + k) for k in np.flatnonzero(~short).tolist())
+        self.laid, self.used, self.n = self.laid + int(need.sum()), self.used + len(ids), n + m
+        self._place((n + np.flatnonzero(short)).astype(np.int32))
+
+    def entries(self, own: Cut, h: np.ndarray) -> np.ndarray:
+        """The entry of each word, or -1."""
+        out, short = np.full(len(own.size), -1, np.int64), own.size <= 8 * LANES
+        some = np.flatnonzero(short)
+        out[some] = self.find(own, some, h[some])
+        for k in np.flatnonzero(~short).tolist():
+            out[k] = self.long.get(own.word(k), -1)
+        return out
+
+    def _first(self, own: Cut, h: np.ndarray, miss: np.ndarray) -> np.ndarray:
+        """One place for each distinct word of those missed; of short words that share a hash, one."""
+        short = own.size[miss] <= 8 * LANES
+        some = miss[short]
+        long = {own.word(k): k for k in miss[~short][::-1].tolist()}
+        return np.concatenate([some[np.unique(h[some], return_index=True)[1]], np.fromiter(long.values(), np.int64, len(long))])
 
     def texts(self, texts: list[bytes], learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-        """The ids of each text. learn gives sizes and ids of words that aren't known, at most `most` // 2 at a time."""
+        """The ids of each text. learn gives sizes and ids of words that aren't known."""
         own = Cut(texts)
-        h, other = own.hashes(LETTERS), own.hashes(OTHER_LETTERS)
-        entry = self.find(h, other)
-        miss = np.flatnonzero(entry < 0)
-        if len(miss):
-            first = miss[np.unique(h[miss], return_index=True)[1]]
-            if self.n + len(first) > self.most:  # words of these texts may be among those that go
-                self.shrink()
-                miss = np.flatnonzero(self.find(h, other) < 0)
-                first = miss[np.unique(h[miss], return_index=True)[1]]
+        h = np.zeros(len(own.size), np.uint64)
+        short = np.flatnonzero(own.size <= 8 * LANES)
+        h[short] = self.hashes(own, short)
+        entry, shrunk = self.entries(own, h), False
+        while len(miss := np.flatnonzero(entry < 0)):  # more than once only if words share a hash, or after shrinking
+            first = self._first(own, h, miss)
             if self.n + len(first) > self.most:
+                if not shrunk:  # words of these texts may be among those that go
+                    self.shrink()
+                    entry, shrunk = self.entries(own, h), True
+                    continue
                 if len(texts) > 1:
                     half = len(texts) // 2
                     return self.texts(texts[:half], learn) + self.texts(texts[half:], learn)
-                sizes, ids = learn([own.raw[a:z] for a, z in zip(own.start.tolist(), own.stop.tolist())])
-                return [ids]
-            words = [own.raw[a:z] for a, z in zip(own.start[first].tolist(), own.stop[first].tolist())]
-            self.add(h[first], other[first], *learn(words))
-            entry = self.find(h, other)
+                return [np.concatenate([learn([own.word(k) for k in range(a, min(a + self.most, len(own.size)))])[1] for a in range(0, len(own.size), self.most)])]
+            self.add(own, first, h[first], *learn([own.word(k) for k in first.tolist()]))
+            entry = self._again(own, h, entry, miss)
         size = self.size[entry].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(size)])
         flat = self.ids[np.repeat(self.at[entry] - ends[:-1], size) + np.arange(ends[-1])]
         cuts = ends[own.ends]
         return [flat[a:z] for a, z in zip(cuts.tolist(), cuts[1:].tolist())]
 
+    def _again(self, own: Cut, h: np.ndarray, entry: np.ndarray, miss: np.ndarray) -> np.ndarray:
+        """entry, with the words missed looked up again."""
+        short = miss[own.size[miss] <= 8 * LANES]
+        entry[short] = self.find(own, short, h[short])
+        for k in miss[own.size[miss] > 8 * LANES].tolist():
+            entry[k] = self.long.get(own.word(k), -1)
+        return entry
+
 
 def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sums of the parts of values; empty parts give 0."""

@@ -95,3 +95,38 @@ def test_digests(docs, rows, library):
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         want.append((r[0], len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """A word of 2**n letters a and b and its complement, which share every polynomial hash modulo 2**64 for n of 10."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_words_are_known_by_their_bytes(monkeypatch, library, clash):
+    """Words that polynomial hashes confuse, words that differ beyond a lane or in length only, and all hashes equal."""
+    from palimpsest.llm._words import IdMemo
+
+    if clash:
+        monkeypatch.setattr(IdMemo, "hashes", lambda self, own, words: np.zeros(len(words), np.uint64))
+    path = K.default_tokenizer()
+    words = [*thue_morse(10), *thue_morse(5), *thue_morse(6), "a" * 8, "a" * 9, "a" * 64, "a" * 65, "a" * 63 + "b", "abcdefgh1", "abcdefgh2", "abcdefgh", "x\x00", "x", "\x00x"]
+    texts = [" ".join(words), " ".join(reversed(words)), words[0], words[1], "", " ".join(f"w{k}" for k in range(300))]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for own in (K.Encoder(path).ids, T.TrieEncoder(path).encode):
+        for _ in range(2):
+            assert [x.tolist() for x in own([t.encode() for t in texts])] == want
+
+
+def test_memo_that_is_too_small(monkeypatch):
+    from palimpsest.llm._words import IdMemo
+
+    path = K.default_tokenizer()
+    own = K.Encoder(path)
+    texts = [" ".join(f"w{k}x{j % 7}" for k in range(j, j + 40)).encode() for j in range(30)] + [b"q" * 100 + b" " + b"q" * 101] * 2
+    want = [x.tolist() for x in own.ids(texts)]
+    own.memo = IdMemo(own.kind, 16, 6)
+    assert [x.tolist() for x in own.ids(texts)] == want and [x.tolist() for x in own.ids(texts[::-1])] == want[::-1]
