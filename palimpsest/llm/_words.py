@@ -49,29 +49,6 @@ SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
 
-class WordHashes:
-    """A keyed 64-bit BLAKE2b digest of each word, worked out once a word: a word is its bytes, so no two share one by
-    construction. At most MEMO words are kept."""
-
-    def __init__(self, key: bytes):
-        self.key, self.code = key, {}
-
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Digests of all words of all texts, and where each text's begin, with the end."""
-        parts = [x.split() for x in texts]
-        new = set().union(*parts) - self.code.keys() if parts else set()
-        if len(self.code) + len(new) > MEMO and self.code:
-            self.code = dict(islice(self.code.items(), MEMO // 2))
-            new = set().union(*parts) - self.code.keys()
-        self.code.update((w, int.from_bytes(blake2b(w, digest_size=8, key=self.key).digest(), "little")) for w in new)
-        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
-        return np.fromiter(map(self.code.__getitem__, chain.from_iterable(parts)), np.uint64, int(ends[-1])), ends
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return WordHashes(b"").of(texts)
-
-
 LANES = 8
 #: For n bytes of a lane, the bits that count.
 MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
@@ -100,6 +77,30 @@ class Cut:
     def word(self, k: int) -> bytes:
         return self.raw[self.start[k] : self.stop[k]]
 
+    def mixed(self, words: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of words of 8 * LANES bytes at most: 8 bytes at a time are stirred in by steps that are one to one
+        and not linear, so words of one length that differ in one lane only never share it."""
+        h = self.size[words].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        left, k = np.arange(len(words)), 0
+        while len(left):
+            x = (h[left] ^ self.lane(words[left], k)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            h[left] = x ^ (x >> np.uint64(32))
+            k += 1
+            left = left[self.size[words[left]] > 8 * k]
+        return h
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts, and where each text's begin, with the end. Long words: of BLAKE2b."""
+    own = Cut(texts)
+    short = own.size <= 8 * LANES
+    h, some = np.zeros(len(short), np.uint64), np.flatnonzero(short)
+    h[some] = own.mixed(some)
+    for k in np.flatnonzero(~short).tolist():
+        h[k] = int.from_bytes(blake2b(own.word(k), digest_size=8).digest(), "little")
+    return h, own.ends
+
 
 class IdMemo:
     """Ids of words in arrays: some 40 bytes a word, at most `most` words. A word is known by its bytes, not by a hash.
@@ -120,15 +121,7 @@ class IdMemo:
 
     def hashes(self, own: Cut, words: np.ndarray) -> np.ndarray:
         """Where look-ups of words begin; any two words may share one."""
-        h = own.size[words].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        left, k = np.arange(len(words)), 0
-        while len(left):
-            x = (h[left] ^ own.lane(words[left], k)) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-            h[left] = x ^ (x >> np.uint64(32))
-            k += 1
-            left = left[own.size[words[left]] > 8 * k]
-        return h
+        return own.mixed(words)
 
     def _same(self, own: Cut, words: np.ndarray, entries: np.ndarray) -> np.ndarray:
         """Whether the words are those of the entries, byte by byte."""

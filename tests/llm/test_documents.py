@@ -139,44 +139,83 @@ def slow_components(rows, width, percent):
     return Counter((r[0], len(s), least[k] if s else r[0]) for r, s, k in zip(rows, sets, of))
 
 
-@pytest.mark.parametrize(("width", "percent", "small", "crowd"), [(4, 85, 50_000, 100_000), (5, 80, 50_000, -(10**9)), (2, 60, 50_000, 100_000), (4, 85, 0, -(10**9)), (4, 85, 0, 100_000)])
-def test_components(docs, rows, monkeypatch, width, percent, small, crowd):
+@pytest.mark.parametrize(("width", "percent", "small", "rounds"), [(4, 85, 50_000, (1, 16)), (5, 80, 50_000, ()), (2, 60, 0, (1,)), (1, 50, 50_000, (1,)), (3, 100, 50_000, ())])
+def test_components(docs, rows, monkeypatch, width, percent, small, rounds):
     monkeypatch.setattr(J, "SMALL", small)
-    monkeypatch.setattr(J, "CROWD", crowd)
+    monkeypatch.setattr(J, "PIVOT_GROUPS", rounds)
     got = J.joined(docs, width, percent).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == slow_components(rows, width, percent)
 
 
-def test_short_texts_meet_in_subsets(spark):
+def test_both_branches_link(spark, monkeypatch):
+    """Short texts meet in subsets, long ones in lists; the cost finds the boundary between them."""
     import random
 
-    r = random.Random(4)
-    rows = []
-    for g in range(20):
-        base = [f"w{g}_{i}" for i in range(r.randint(4, 30))]
-        for _ in range(4):
+    r, rows, seen = random.Random(4), [], {}
+    for g in range(60):
+        base = [f"w{g}_{i}" for i in range(r.randint(4, 14) if g % 2 else r.randint(40, 90))]
+        for _ in range(5):
             own = list(base)
             if r.random() < 0.7:
                 own[-1] = "x" + str(r.randint(0, 2))
             if r.random() < 0.3:
                 own.append("tail")
             rows.append((len(rows), " ".join(own)))
+    for name in ("light_links", "compared", "boundary"):
+        def own(*args, f=getattr(J, name), name=name):
+            found = f(*args)
+            seen[name] = seen.get(name, 0) + (found if name == "boundary" else found.count())
+            return found
+
+        monkeypatch.setattr(J, name, own)
     got = J.joined(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
     assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == slow_components(rows, 2, 80)
+    assert 5 <= seen["boundary"] < J.LARGEST_LIGHT and seen["light_links"] > 10 and seen["compared"] > 10
 
 
-def test_rounds_of_pivots(spark, monkeypatch):
-    """A chain of drifting copies whose ends aren't linked themselves, and a crowd of near copies."""
+def test_a_crowd_costs_few_comparisons(spark, monkeypatch):
+    """A chain of drifting copies whose ends aren't linked themselves, and 2000 near copies of one text."""
     rows, own = [], [f"c{i}" for i in range(120)]
     for k in range(40):
         own = [*own[:k], f"n{k}", *own[k + 1 :]]
         rows.append((k, " ".join(own)))
-    base = [f"b{i}" for i in range(90)]
-    rows += [(100 + k, " ".join([*base[:k % 90], f"q{k}", *base[k % 90 + 1 :]])) for k in range(60)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(J, "CROWD", -(10**9))
-    got = J.joined(df, 3, 85).collect()
-    assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == slow_components(rows, 3, 85)
+    base, tried = [f"b{i}" for i in range(90)], []
+    rows += [(100 + k, " ".join([*base[: k % 90], f"q{k}", *base[k % 90 + 1 :]])) for k in range(2000)]
+    compared = J.compared
+    monkeypatch.setattr(J, "compared", lambda pairs, *rest: tried.append(pairs.count()) or compared(pairs, *rest))
+    got = J.joined(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {x.component_id for x in got if x.doc_id >= 100} == {100} and {x.component_id for x in got if x.doc_id < 100} == {0}
+    assert sum(tried) < 10 * len(rows)
+
+
+def test_classes_that_share_a_name(docs, rows, monkeypatch):
+    """Digests whose first half says next to nothing: the other half tells classes apart."""
+    whole = J.digest
+    monkeypatch.setattr(J, "digest", lambda s: (whole(s)[0] % 5, whole(s)[1]))
+    got = J.joined(docs, 4, 85).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == slow_components(rows, 4, 85)
+
+
+def test_shingles_of_words_that_hashes_confuse(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    got = J.joined(spark.createDataFrame([(1, f"x y z {word}"), (2, f"x y z {other}"), (3, f"X y z {word}")], "doc_id long, text string"), 4, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1}
+
+
+def test_linked_sets_share_enough_cells():
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(r.integers(1, 300))
+        a = np.unique(r.integers(0, 1 << 63, n, np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([a[r.random(len(a)) < 0.95], r.integers(0, 1 << 63, int(r.integers(0, n // 12 + 1)), np.uint64)]))
+        for p in (60, 80, 85):
+            if len(b) and 100 * len(np.intersect1d(a, b)) >= p * len(np.union1d(a, b)):
+                x, y = J.cells(a, p), J.cells(b, p)
+                met = np.intersect1d(np.concatenate([k for _, k in x]), np.concatenate([k for _, k in y]))
+                assert all(any(np.isin(k, met).sum() >= need for need, k in own) for own in (x, y))
 
 
 def test_parity_never_rules_out_links():
@@ -186,7 +225,13 @@ def test_parity_never_rules_out_links():
         a = np.unique(r.integers(0, 1 << 63, n, np.uint64))
         b = np.unique(np.concatenate([a[r.random(len(a)) < 0.9], r.integers(0, 1 << 63, int(r.integers(0, 40)), np.uint64)]))
         if len(b):
-            assert J.differing(J.parity(a), J.parity(b)) <= len(np.setxor1d(a, b))
+            assert np.bitwise_count((J.parity(a) ^ J.parity(b)).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_columns_keep_their_names(docs):
+    own = docs.withColumn("own_id", F.lit(7)).withColumn("own_hash", F.lit("h")).withColumn("stay_id", F.lit(None)).withColumn("component", F.lit(1.5)).withColumn("cells", F.lit("c"))
+    got = J.deduplicated(own, 5, 80)
+    assert got.columns == own.columns and got.select("own_id", "own_hash", "component", "cells").distinct().collect() == [(7, "h", 1.5, "c")]
 
 
 def test_one_of_each_group_stays(docs, no_docs, rows):
