@@ -1,8 +1,8 @@
 """Token ids in Re-Pair compressed shards.
 
 Documents are dealt by ranges of doc_id, encoded, and packed into shards of about SHARD_TOKENS ids. In each shard,
-rounds of Re-Pair replace frequent pairs of symbols by nonterminals; a rule never reaches over a document's end. A
-shard is one frame: rules, the length that each expands to, the place of each document and the remaining symbols.
+Re-Pair replaces the most frequent pairs of symbols by nonterminals, again and again, until no pair is left whose rule
+would gain anything (LEAST places); a rule never reaches over a document's end. A shard is one frame: rules, the length that each expands to, the place of each document and the remaining symbols.
 So any document, or any id of it, is decoded without the rest. Frames are rows of a Parquet table below the shared
 folder: Spark's committer makes a task's frames appear once, however often the task ran.
 
@@ -35,7 +35,8 @@ from ._shared import kept, scratch, table, text_bytes
 from ._words import IdMemo
 
 SHARD_TOKENS, END_ID, MEMO, PART_BYTES = 1 << 18, 1, 800_000, 1 << 20
-ROUNDS, LEAST, SLOTS = 5, 8, 17
+#: A rule takes two symbols and four bytes of length, as much as four symbols of two bytes: with LEAST places it gains.
+LEAST, STEP, SLOTS = 5, 8, 17
 #: What the tokenizer file names as its pattern.
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 HEAD = struct.Struct("<4sIQIIII")
@@ -136,67 +137,78 @@ def encoder(path: str) -> Encoder:
     return kept(("token_files", path), lambda: Encoder(path))
 
 
-def slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a.astype(np.uint32) * np.uint32(0x9E3779B1) + b.astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - SLOTS)
+def slots(keys: np.ndarray) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int32)
 
 
-def re_pair(symbols: np.ndarray, vocab: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """symbols after the rounds, and left, right and expansion length of each rule.
+def places_of_pairs(s: np.ndarray, end: int) -> np.ndarray:
+    """Where a pair begins that may be replaced: within a document, and in a run of one symbol every other place only."""
+    same = s[:-1] == s[1:]
+    own = (s[:-1] != end) & (s[1:] != end)
+    at = np.flatnonzero(same)
+    if len(at):
+        run = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+        offset = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
+        own[at[offset % 2 == 1]] = False
+    return np.flatnonzero(own)
 
-    A round counts pairs by slots of a hash table, sorts only those of full slots, and replaces all pairs that are
-    frequent enough, one for each slot. Of pairs that overlap in the text every other one is replaced, from the left.
+
+def re_pair(symbols: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """symbols when no pair is left that LEAST places or more could be replaced by, and left, right and expansion length
+    of each rule.
+
+    Frequent pairs go first. A step takes all pairs that are at least a STEPth as frequent as the most frequent one; where
+    two of them overlap, the more frequent one is replaced, so the most frequent one everywhere. A pair that gets fewer
+    than LEAST places so waits for a later step, as does one whose slot of the table of a step is taken.
     """
     s = symbols.astype(np.uint32)
-    left, right, length = np.zeros(0, np.int64), np.zeros(0, np.int64), np.ones(vocab + 1, np.int64)
-    for _ in range(ROUNDS):
-        if len(s) < 2 or len(left) >= most:
-            break
-        slot = slots(s[:-1], s[1:]).astype(np.int64)
-        load = np.bincount(slot, minlength=1 << SLOTS)
-        at = np.flatnonzero((load >= LEAST)[slot])
-        a, b = s[at], s[at + 1]
-        inside = (a != vocab) & (b != vocab)
-        at, a, b = at[inside], a[inside], b[inside]
-        keys = (a.astype(np.int64) << 32) | b
+    left, right, length, n = [], [], [np.ones(vocab + 1, np.int64)], vocab + 1
+    while len(s) > 1:
+        at = places_of_pairs(s, vocab)
+        keys = (s[at].astype(np.uint64) << np.uint64(32)) | s[at + 1]
+        slot = slots(keys)
+        some = np.flatnonzero((np.bincount(slot, minlength=1 << SLOTS) >= LEAST)[slot])
+        at, keys, slot = at[some], keys[some], slot[some]
         ordered = np.sort(keys)
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.zeros(0, np.int64)
         pairs, counts = ordered[first], np.diff(np.append(first, len(keys)))
-        keep = counts >= max(LEAST, counts.max(initial=0) // 64)
+        keep = counts >= max(LEAST, -(-counts.max(initial=0) // STEP))
         pairs, counts = pairs[keep], counts[keep]
         if not len(pairs):
             break
-        pairs = pairs[np.lexsort((pairs, -counts))[: most - len(left)]]
-        own = slots(pairs >> 32, pairs & 0xFFFFFFFF)
-        one = np.sort(np.unique(own, return_index=True)[1])  # the most frequent of a slot; others wait for a later round
-        pairs, own = pairs[one], own[one]
-        owner, name = np.full(1 << SLOTS, -1, np.int64), np.zeros(1 << SLOTS, np.int64)
-        owner[own], name[own] = pairs, np.arange(len(pairs))
-        of = slot[at]
-        match = owner[of] == keys
-        hit, kind = at[match], name[of[match]]
-        run = np.concatenate([[True], np.diff(hit) > 1])
-        start = np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
-        even = (np.arange(len(hit)) - start) % 2 == 0
-        hit, kind = hit[even], kind[even]
-        used = np.bincount(kind, minlength=len(pairs)) >= 3
-        hit, kind = hit[used[kind]], kind[used[kind]]
-        if not len(hit):
-            break
-        s[hit] = (vocab + 1 + len(left) + np.cumsum(used) - 1)[kind]
+        pairs = pairs[np.lexsort((pairs, -counts))]
+        own = slots(pairs)
+        pairs = pairs[np.sort(np.unique(own, return_index=True)[1])]
+        owner, rank_of = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int32)
+        own = slots(pairs)
+        owner[own], rank_of[own] = pairs, np.arange(len(pairs))
+        match = owner[slot] == keys
+        hit, rank = at[match], rank_of[slot[match]]
+        ranks = np.full(len(s) + 1, len(pairs), np.int32)
+        ranks[hit + 1] = rank
+        wins = (rank < ranks[hit]) & (rank < ranks[hit + 2])
+        hit, rank = hit[wins], rank[wins]
+        used = np.bincount(rank, minlength=len(pairs)) >= LEAST
+        hit, rank = hit[used[rank]], rank[used[rank]]
+        s[hit] = (n + np.cumsum(used) - 1)[rank]
         gone = np.ones(len(s), bool)
         gone[hit + 1] = False
         s = s[gone]
         new = pairs[used]
-        length = np.concatenate([length, length[new >> 32] + length[new & 0xFFFFFFFF]])
-        left, right = np.concatenate([left, new >> 32]), np.concatenate([right, new & 0xFFFFFFFF])
-    return s, left, right, length[vocab + 1 :]
+        left.append((new >> np.uint64(32)).astype(np.int64))
+        right.append((new & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        sizes = np.concatenate(length)
+        length = [sizes, sizes[left[-1]] + sizes[right[-1]]]
+        n += len(new)
+    none = np.zeros(0, np.int64)
+    return s, np.concatenate([none, *left]), np.concatenate([none, *right]), np.concatenate(length)[vocab + 1 :]
 
 
 def to_frame(doc_ids: list, ids: list[np.ndarray], vocab: int) -> bytes:
     """ids: of each document, without the end id."""
     flat = np.concatenate([x for i in ids for x in (i, np.array([vocab], np.uint32))])
-    s, left, right, length = re_pair(flat, vocab, 65_535 - vocab - 1 if vocab < 65_000 else 1 << 20)
-    kind = "<u2" if vocab < 65_000 else "<u4"
+    s, left, right, length = re_pair(flat, vocab)
+    kind = "<u2" if vocab + len(left) < 1 << 16 else "<u4"
     places = np.concatenate([[0], np.flatnonzero(s == vocab) + 1])
     body = [
         HEAD.pack(b"RPR1", len(ids), len(flat), vocab, len(left), len(s), int(kind[-1])),

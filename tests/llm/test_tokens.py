@@ -130,3 +130,19 @@ def test_memo_that_is_too_small(monkeypatch):
     want = [x.tolist() for x in own.ids(texts)]
     own.memo = IdMemo(own.kind, 16, 6)
     assert [x.tolist() for x in own.ids(texts)] == want and [x.tolist() for x in own.ids(texts[::-1])] == want[::-1]
+
+
+@given(st.lists(st.integers(0, 5), max_size=800), st.integers(0, 3))
+@settings(max_examples=40, deadline=None)
+def test_no_pair_is_left_that_gains(ids, repeats):
+    """Rules are made until none gains, whatever repeats; what they stand for is what was there."""
+    s = np.array((ids + [5]) * (repeats + 1), np.uint32)
+    short, left, right, length = K.re_pair(s, 5)
+    at = K.places_of_pairs(short, 5)
+    left_over = np.unique(np.stack([short[at], short[at + 1]]), axis=1, return_counts=True)[1] if len(at) else np.zeros(1)
+    assert left_over.max(initial=0) < K.LEAST
+    text = {k: [k] for k in range(6)}
+    for k, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
+        text[6 + k] = text[a] + text[b]
+        assert len(text[6 + k]) == length[k] and 5 not in text[6 + k]
+    assert [x for k in short.tolist() for x in text[k]] == s.tolist()
