@@ -3,12 +3,17 @@
 The words of a source form a stream: its documents in a seeded order. The stream is cut into blocks of BLOCK words.
 All blocks of the mix are dealt out one by one to the source with the highest quotient weight / (2 seats + 1); as the
 method never takes a seat back when there are more seats, the seats up to a shard's end less those up to its start are
-the shard's integer quotas. Which blocks of a source are read in the last, partial pass over its stream follows from a
-seeded bijection of block numbers, so no block is listed or sorted: a document knows the blocks that it reaches into.
+the shard's integer quotas. Then the blocks are selected: a seeded bijection of a source's block numbers is its order of
+reading, pass by pass, and each shard takes the next blocks of it, as many as its quota. No block is listed or sorted: a
+document knows the blocks that it reaches into, each block its turn, and each turn the shard whose quota it falls in.
 
-The driver holds one row for each source, at most MAX_SOURCES (else an error), never for documents. A source's stream
-offsets come from sums by (source, bucket) with buckets of about BUCKET_ROWS documents, so that a source with a third
-of all rows is spread over many tasks.
+Sources whose target is below FINE blocks are dealt out among themselves in blocks of one word, so that they too come
+near their targets.
+
+The driver holds one row for each source, never for documents; the plan is sent to all tasks if it has at most SMALL
+rows and joined by a shuffle beyond. A source's stream offsets come from sums by (source, bucket) with buckets of about
+BUCKET_ROWS documents, and of those by groups of GROUP buckets, so that a source with a third of all rows is spread over
+many tasks at both levels.
 
 Cases: a null text has size 0; documents of size 0 are never taken. Null sources are one source, last in order. Equal
 and repeated rows each count. If all sizes are 0, or the table is empty, nothing is taken and targets are 0. Weights
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._shared import WORD, table, trimmed, written
 
-BLOCK, CAP, SHARDS, SEED, BUCKET_ROWS, MAX_SOURCES = 64, 3, 64, 20_240_601, 1000, 100_000
+BLOCK, CAP, SHARDS, SEED, BUCKET_ROWS, GROUP, FINE, SMALL = 64, 3, 64, 20_240_601, 1000, 1000, 32, 10_000
 WEIGHTS = (1, 2, 3)
 
 
@@ -72,57 +77,71 @@ def shard_quotas(weights: np.ndarray, n: int, most: np.ndarray, shards: int = SH
     return np.diff(np.stack([np.zeros(len(weights), np.int64), *ends]), axis=0)
 
 
-def source_plan(sums: list[tuple], seed: int = SEED, block: int = BLOCK) -> tuple[list[tuple], np.ndarray]:
-    """sums: (source, size, rows). One row for each source, for plan()'s join, and the quotas by shard."""
+def source_plan(sums: list[tuple], seed: int = SEED, block: int = BLOCK) -> list[tuple]:
+    """sums: (source, size, rows). One row for each source, as in PLAN; turns: the turns at which the shards' quotas end."""
     order = sorted(sums, key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [int(r[1]) for r in order]
     want = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(order))])
-    blocks = np.array([-(-s // block) for s in sizes], np.int64)
-    quotas = shard_quotas(np.array(want), round(sum(want) / block), CAP * blocks) if any(want) else np.zeros((SHARDS, len(order)), np.int64)
-    rows = []
+    fine = np.array(want) < FINE * block
+    widths = np.where(fine, 1, block)
+    blocks = -(-np.array(sizes, np.int64) // widths)
+    quotas, rows = np.zeros((SHARDS, len(order)), np.int64), []
+    for some, width in ((np.flatnonzero(fine), 1), (np.flatnonzero(~fine), block)):
+        own = np.array(want)[some]
+        if own.any():
+            quotas[:, some] = shard_quotas(own, round(own.sum() / width), CAP * blocks[some])
+    turns = np.cumsum(quotas, axis=0)
     for i, (source, size, n_rows) in enumerate(order):
-        n, got = int(blocks[i]), int(quotas[:, i].sum())
+        n, got = int(blocks[i]), int(turns[-1, i])
         mark = zlib.crc32(f"{seed}:{source}".encode())
         step = max(1, min(int(n * 0.6180339887), 1 << 20)) + mark % 97
         while math.gcd(step, max(n, 1)) != 1:
             step += 1
-        rows.append((i, source, int(size), want[i], n, got // n if n else 0, got % n if n else 0, step, mark % max(n, 1), 1 + int(n_rows) // BUCKET_ROWS))
-    return rows, quotas
+        rows.append((i, source, int(size), want[i], int(widths[i]), n, got // n if n else 0, step, mark % max(n, 1), 1 + int(n_rows) // BUCKET_ROWS, turns[:, i].tolist()))
+    return rows
 
 
-PLAN = "source_no int, source string, source_size long, target double, blocks long, passes long, rest long, step long, shift long, buckets long"
+PLAN = "source_no int, source string, source_size long, target double, width long, blocks long, passes long, step long, shift long, buckets long, turns array<long>"
 
 
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, source, size and the seeded number that orders documents; row holds all columns of docs."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    own = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.struct(*docs.columns).alias("row"))
-    return own.withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    own = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.struct(*docs.columns).alias("row"), "text")
+    return own.withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id", "size", F.xxhash64("text"))).drop("text")
 
 
 def mixed(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
-    """docs (sized()) with source_size, target, taken, passes, extra.
+    """docs (sized()) with source_size, target, taken, passes, extra, picks.
 
-    taken is passes times size and the words of extra: [from, to) ranges of the document's words read once more.
+    picks: the document's part in the blocks selected, as (shard, pass, from, to) with [from, to) in its words; taken is
+    their sum. extra: the ranges of the last pass, which reads some blocks only; the passes before read all.
     """
     spark = docs.sparkSession
-    sums = docs.groupBy("source").agg(F.sum("size"), F.count(F.lit(1))).limit(MAX_SOURCES + 1).collect()
-    if len(sums) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources")
-    rows, _ = source_plan([tuple(r) for r in sums], seed, block)
-    plan = F.broadcast(spark.createDataFrame(rows, PLAN).withColumnRenamed("source", "plan_source"))
+    sums = docs.groupBy("source").agg(F.sum("size"), F.count(F.lit(1))).collect()
+    rows = source_plan([tuple(r) for r in sums], seed, block)
+    plan = spark.createDataFrame(rows, PLAN).withColumnRenamed("source", "plan_source")
+    if len(rows) <= SMALL:
+        plan = F.broadcast(plan)
     dealt = docs.join(plan, docs["source"].eqNullSafe(plan["plan_source"])).drop("plan_source").withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "mix_key"), F.col("buckets")))
     sums = dealt.groupBy("source_no", "bucket").agg(F.sum("size").alias("bucket_size"))
-    before = sums.withColumn("before", F.coalesce(F.sum("bucket_size").over(Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("source_no", "bucket", "before")
-    own = Window.partitionBy("source_no", "bucket").orderBy("mix_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = written(sums.withColumn("part", F.floor(F.col("bucket") / GROUP)), "buckets")
+    parts = sums.groupBy("source_no", "part").agg(F.sum("bucket_size").alias("part_size")).withColumn("part_before", earlier("part_size", "source_no", "part")).drop("part_size")
+    before = sums.withColumn("inside", earlier("bucket_size", "source_no", "part", "bucket")).join(parts, ["source_no", "part"]).select("source_no", "bucket", (F.col("part_before") + F.col("inside")).alias("before"))
+    own = Window.partitionBy("source_no", "bucket").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.join(before, ["source_no", "bucket"]).withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(own), F.lit(0)))
-    first, last = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)
-    blocks = F.when((F.col("size") > 0) & (F.col("rest") > 0), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-    chosen = F.filter(blocks, lambda j: F.pmod(j * F.col("step") + F.col("shift"), F.col("blocks")) < F.col("rest"))
-    extra = F.transform(chosen, lambda j: F.struct(F.greatest(j * block - F.col("at"), F.lit(0)).alias("from"), F.least((j + 1) * block - F.col("at"), F.col("size")).alias("to")))
-    placed = placed.withColumn("extra", extra)
-    taken = F.col("passes") * F.col("size") + F.aggregate("extra", F.lit(0).cast("long"), lambda n, x: n + x["to"] - x["from"])
-    return placed.withColumn("taken", taken).drop("source_no", "bucket", "before", "at", "blocks", "rest", "step", "shift", "buckets", "mix_key")
+    end = F.col("at") + F.col("size")
+    some = F.when(F.col("size") > 0, F.sequence(F.expr("at div width"), F.expr("(at + size - 1) div width"))).otherwise(F.array().cast("array<bigint>"))
+    turn = lambda p, j: p * F.col("blocks") + F.pmod(j * F.col("step") + F.col("shift"), F.col("blocks"))
+    part = lambda p, j: F.struct(turn(p, j).alias("turn"), p.alias("pass"), F.greatest(j * F.col("width") - F.col("at"), F.lit(0)).alias("from"), (F.least((j + 1) * F.col("width"), end) - F.col("at")).alias("to"))
+    all_parts = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes")), lambda p: F.transform(some, lambda j: part(p, j))))
+    placed = placed.withColumn("parts", F.filter(all_parts, lambda x: x["turn"] < F.element_at("turns", -1)))
+    shard = lambda x: F.aggregate("turns", F.lit(0), lambda n, end: n + (end <= x["turn"]).cast("int"))
+    placed = placed.withColumn("picks", F.transform("parts", lambda x: F.struct(shard(x).alias("shard"), x["pass"], x["from"], x["to"])))
+    placed = placed.withColumn("extra", F.transform(F.filter("parts", lambda x: x["pass"] == F.col("passes")), lambda x: F.struct(x["from"], x["to"])))
+    placed = placed.withColumn("taken", F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + x["to"] - x["from"]))
+    return placed.drop("source_no", "bucket", "before", "at", "width", "blocks", "step", "shift", "buckets", "turns", "parts", "mix_key")
 
 
 def materialised(mix: DataFrame, columns: list[str]) -> DataFrame:
