@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import table, trimmed
+from .token_files import slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
@@ -137,10 +138,10 @@ RUNS = re.compile(r"[0-9]+|[A-Z]+|[a-z]+|[^\W\d_]+|(.)\1*", re.S)
 def shape(word: str) -> str:
     """Runs of digits with their length, of letters without, and signs: "(771)" is "(3)", "a.b@c.com" is "a.a@a.a"."""
     out = []
-    for m in RUNS.finditer(word[:64]):
+    for m in RUNS.finditer(word):
         x = m[0]
         out.append(str(min(len(x), 20)) if x.isascii() and x.isdigit() else "a" if x[0].isalpha() else x[0])
-    return "".join(out) if len(word) <= 64 else "long"
+    return "".join(out)
 
 
 def word_features(word: str) -> tuple[str, ...]:
@@ -153,6 +154,12 @@ def around(word: str, where: str) -> tuple[str, ...]:
     return f"{where}s={shape(word.strip('.,;:!?'))}" if any(map(str.isdigit, word)) else f"{where}a", f"{where}h={HINTS.get(word.lower().strip('.,;:!?'), '')}"
 
 
+#: No feature tells one digit from another, so what is known of a word is kept for all words of like digits.
+ONE_DIGIT = str.maketrans("123456789", "000000000")
+#: Words of which a field keeps scores, and steps of runs that it works on together.
+MEMO, STEPS = 50_000, 1 << 16
+
+
 def can_be(word: str) -> bool:
     return bool(SIGN.search(word))
 
@@ -185,7 +192,7 @@ class Field:
         k = len(LABELS)
         allowed = np.array([[not b.startswith("I") or a[2:] == b[2:] and a != "O" for b in LABELS] for a in LABELS])
         self.barred, self.start = np.where(allowed, 0.0, -1e4), np.array([-1e4 if x.startswith("I") else 0.0 for x in LABELS])
-        self.weights, self.step = np.zeros((self.empty + 1, k)), np.zeros((k, k))
+        self.weights, self.step, self.known = np.zeros((self.empty + 1, k)), np.zeros((k, k)), {}
         moments = [np.zeros_like(x) for x in (self.weights, self.weights, self.step, self.step)]
         for epoch in range(1, rounds + 1):
             gw, gs = self._gradient(ids, gold, inside)
@@ -227,6 +234,20 @@ class Field:
         padded = [before, *words, after]
         return [[*word_features(w), *around(padded[k], "-"), *around(padded[k + 2], "+")] for k, w in enumerate(words)]
 
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Of each word, the labels' scores by its own features, and what it adds to the word after and to the one before."""
+        if len(self.known) > MEMO:
+            self.known = {}
+        out = []
+        for w in words:
+            key = w.translate(ONE_DIGIT)
+            if (x := self.known.get(key)) is None:
+                x = np.array([self.weights[[self.index.get(f, self.empty) for f in fs]].sum(0) for fs in (word_features(key), around(key, "-"), around(key, "+"))])
+                if len(key) <= 64:
+                    self.known[key] = x
+            out.append(x)
+        return np.array(out)
+
     def decode(self, runs: list[tuple[str, list[str], str]]) -> list[np.ndarray]:
         """Viterbi labels of each run; runs of like length are worked on together."""
         out: list = [None] * len(runs)
@@ -234,15 +255,16 @@ class Field:
         trans, at = self.step + self.barred, 0
         while at < len(order):
             longest, stop = len(runs[order[at]][1]), at
-            while stop < len(order) and stop - at < 4096 and len(runs[order[stop]][1]) <= max(8, 2 * longest):
+            while stop < len(order) and (n := len(runs[order[stop]][1])) <= max(8, 2 * longest) and (stop == at or (stop - at + 1) * n <= STEPS):
                 stop += 1
             group = order[at:stop]
             steps = len(runs[group[-1]][1])
             e = np.zeros((len(group), steps, len(LABELS)))
             sizes = np.array([len(runs[i][1]) for i in group])
             for g, i in enumerate(group):
-                for t, fs in enumerate(self.features(runs[i])):
-                    e[g, t] = self.weights[[self.index.get(f, self.empty) for f in fs]].sum(0)
+                before, words, after = runs[i]
+                x = self.scores([before, *words, after])
+                e[g, : len(words)] = x[1:-1, 0] + x[:-2, 1] + x[2:, 2]
             score, back = e[:, 0] + self.start, np.zeros((len(group), steps, len(LABELS)), np.int8)
             for t in range(1, steps):
                 way = score[:, :, None] + trans
@@ -284,10 +306,15 @@ def runs_of(text: str) -> list[tuple[str, list[str], str, list[int]]]:
             out[-1][1].append(m[0])
             out[-1][3].append(m.start())
         else:
-            b = BEFORE.search(text, max(0, m.start() - 80, end), m.start()) if m.start() else None
+            back, first = 80, max(end, 0)
+            while True:  # until the word before is in sight, with its beginning
+                b = BEFORE.search(text, max(first, m.start() - back), m.start()) if m.start() else None
+                if m.start() - back <= first or b and b.start() > m.start() - back:
+                    break
+                back *= 4
             out.append([b[0].strip(SPACE) if b else "", [m[0]], "", [m.start()]])
         end = m.end()
-        a = AFTER.match(text, end, end + 80)
+        a = AFTER.match(text, end)
         out[-1][2] = a[1] if a else ""
     return out
 
@@ -342,7 +369,7 @@ def found(docs: DataFrame) -> DataFrame:
     def work(batches):
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            got = spans_of(texts, sent.value)
+            got = [s for x in slices(texts) for s in spans_of(texts[x], sent.value)]
             as_rows = lambda s: [{"kind": KINDS[k], "start": a, "end": z} for a, k, z in s]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([as_rows(b) for b, _ in got], span), pa.array([as_rows(s) for _, s in got], span)], ["doc_id", "base", "spans"])
 
@@ -366,7 +393,8 @@ def redacted(docs: DataFrame) -> DataFrame:
     def work(batches):
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            got = spans_of([x or "" for x in texts], sent.value)
+            plain = [x or "" for x in texts]
+            got = [s for x in slices(plain) for s in spans_of(plain[x], sent.value)]
             new = [None if x is None else masked(x, s) if s else x for x, (_, s) in zip(texts, got)]
             columns = list(batch.columns)
             columns[at] = pa.array(new, pa.string())
