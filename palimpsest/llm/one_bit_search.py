@@ -6,8 +6,9 @@ is estimated without bias, with an error that lies within SPREAD standard bounds
 reranked by its exact distance only if the lower bound of its distance is not above the K-th best so far.
 
 Every row is in the index; nothing is fitted but the mean, which is taken over all rows. Queries are worked on in
-blocks of at most QUERY_BLOCK, which is what each task and the driver hold; a task keeps K neighbours for each query of
-a block, so no pairs are written or joined. The best of all tasks are merged in a window by query.
+blocks of at most QUERY_BLOCK, which is what each task and the driver hold: a block's result is written and its broadcast
+destroyed before the next begins. A task keeps K neighbours for each query of a block, so no pairs are written or joined.
+The best of all tasks are merged in a window by query. Each block reads the index once.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, neither do null vec_ids.
 Vectors of different lengths are never compared. Equal distances go to the smaller vec_id. Rows with the query's own
@@ -17,16 +18,14 @@ fewer than K candidates all are returned. An empty table gives no rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import table, written
+from ._shared import dropped, scratch, table, written
 
-K, EVERY, SEED, SPREAD, QUERY_BLOCK, CELLS, MAX_LENGTHS = 10, 100, 7, 4.0, 4096, 1 << 20, 64
+K, EVERY, SEED, SPREAD, QUERY_BLOCK, CELLS = 10, 100, 7, 4.0, 4096, 1 << 20
 INDEX = "vec_id long, code binary, norm double, fit double, vector array<double>"
 
 
@@ -101,10 +100,10 @@ class Best:
         self.square[q[keep], rank[keep]], self.ids[q[keep], rank[keep]] = s[keep], i[keep]
 
 
-def search(index: DataFrame, query_ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int = K) -> DataFrame:
-    """query_id, vec_id, score: each task's k nearest rows of the index for each query."""
+def search(index: DataFrame, sent, centre: np.ndarray, turn: np.ndarray, k: int = K) -> DataFrame:
+    """query_id, vec_id, score: each task's k nearest rows of the index for each query. sent: a broadcast of the queries'
+    ids and vectors."""
     size = len(centre)
-    sent = index.sparkSession.sparkContext.broadcast((query_ids, queries))
 
     def near(batches):
         names, q = sent.value
@@ -144,10 +143,10 @@ def nearest(rows: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of (vec_id, embedding) whose vec_id is divisible by every."""
     spark = rows.sparkSession
     vectors = usable(rows)
-    lengths = sorted(r[0] for r in vectors.select(F.size("vector")).distinct().limit(MAX_LENGTHS + 1).collect())
-    if len(lengths) > MAX_LENGTHS:
-        raise ValueError(f"over {MAX_LENGTHS} lengths of vectors")
-    parts = [spark.createDataFrame([], "query_id long, vec_id long, score double")]
+    lengths = sorted(r[0] for r in vectors.select(F.size("vector")).distinct().collect())
+    rank, found = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")), "query_id long, rank int, vec_id long, score double"
+    path = scratch(spark, "nearest")
+    spark.createDataFrame([], found).write.parquet(path)
     for size in lengths:
         own = vectors.filter(F.size("vector") == size)
         centre, turn = mean_of(own, size), rotation(size)
@@ -159,11 +158,14 @@ def nearest(rows: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
             if not block:
                 break
             after = block[-1].vec_id
-            parts.append(search(index, np.array([r.vec_id for r in block], np.int64), np.array([r.vector for r in block], float), centre, turn, k))
+            sent = spark.sparkContext.broadcast((np.array([r.vec_id for r in block], np.int64), np.array([r.vector for r in block], float)))
+            best = search(index, sent, centre, turn, k).withColumn("rank", rank).filter(F.col("rank") <= k)
+            best.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+            sent.destroy()
             if len(block) < QUERY_BLOCK:
                 break
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        dropped(index)
+    return spark.read.schema(found).parquet(path)
 
 
 def op7_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
