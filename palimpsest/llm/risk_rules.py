@@ -8,17 +8,20 @@ by their number. DELTA is the chance that any bound fails, divided over signals,
 pool. Enough is when a cutoff above all good labels is certain, which follows from numbers of labels only. The pooled
 promise is for all languages together, not for each. If even the pool has too few, there are only the base rules.
 
+The labelled texts are the holdout: nothing is fitted to them but the choice of a cutoff, which the fixed order pays for.
+Equal texts of one language are one trial, however many documents and labels they have.
+
 One pass over the texts makes the table of signals. Labels meet it in a join by doc_id, and only counts by (stratum,
-signal, cutoff) come to the driver: at most MAX_STRATA * signals * cutoffs, whatever the input.
+signal, cutoff) of strata with enough labels, and of the pool, come to the driver.
 
 Cases: null and empty texts have no words and fail the base rules. A null language is a stratum of its own. Documents
-without labels or with null ones don't count for the bounds; a document labelled several times counts once for each.
+without labels or with null ones don't count for the bounds; one labelled several times counts once if any label is good.
 Repeated rows are judged each. An empty table gives none.
 """
 
 from __future__ import annotations
 
-from math import exp, lgamma, log
+from math import ceil, exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +32,21 @@ from ._shared import kept, table, text_bytes, written
 from ._words import WordTable, repeated_windows, sums
 from .token_files import slices
 
-ALPHA, DELTA, MAX_STRATA, CUTOFFS, WINDOW = 0.02, 0.05, 1000, 40, 8
+ALPHA, DELTA, CUTOFFS, WINDOW = 0.02, 0.05, 40, 8
 SYMBOLS = b"#*$%&|<>"
 NOT_SYMBOL = bytes(b for b in range(256) if b not in SYMBOLS)
+#: Strata whose cutoffs are sent to all tasks; more meet the texts in a shuffle.
+SMALL = 10_000
 #: Stands for all languages without cutoffs of their own; no language is a tuple.
 POOLED = ("pooled",)
 #: The signals are rates from 0 to 1; higher is worse.
 SIGNALS = ("symbol_rate", "shout_rate", "dup_line_rate", "repeat_rate", "stutter_rate")
-FOUND = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"{s} double" for s in SIGNALS)
+FOUND = "doc_id long, lang string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"{s} double" for s in SIGNALS)
 
 
 def describe(words: list[bytes]) -> np.ndarray:
     """characters, symbols, shouted: of each word."""
-    out = np.zeros((len(words), 3), np.float32)
+    out = np.zeros((len(words), 3))
     for k, w in enumerate(words):
         n = len(w) if w.isascii() else len(w.decode("utf-8", "replace"))
         out[k] = n, len(w.translate(None, NOT_SYMBOL)), len(w) > 2 and w.upper() == w != w.lower()
@@ -58,7 +63,7 @@ def signals(docs: DataFrame) -> DataFrame:
     """The base counts and SIGNALS of each row of docs (doc_id, lang, text)."""
 
     def work(batches):
-        memo = kept("risk_rules", lambda: WordTable(3, describe))
+        memo = kept("risk_rules", lambda: WordTable(3, describe, np.float64))
         for batch in batches:
             all_texts = batch.column(2).to_pylist()
             for x in slices(all_texts):
@@ -75,10 +80,10 @@ def signals(docs: DataFrame) -> DataFrame:
                 rates = (symbols / np.maximum(chars, 1), shouted / some, lines[:, 0] / np.maximum(lines[:, 1], 1), repeat / some, sums(again, ends) / some)
                 whole = lambda v: pa.array(np.asarray(v).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[x.start : x.stop], batch.column(1)[x.start : x.stop], *map(whole, (n, chars, symbols, lines[:, 0], repeat)), *(pa.array(np.minimum(r, 1.0).astype(np.float64)) for r in rates)],
-                    ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *SIGNALS])
+                    [*(batch.column(c)[x.start : x.stop] for c in ("doc_id", "lang", "text_hash")), *map(whole, (n, chars, symbols, lines[:, 0], repeat)), *(pa.array(np.minimum(r, 1.0).astype(np.float64)) for r in rates)],
+                    ["doc_id", "lang", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *SIGNALS])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_bytes().alias("text")).mapInArrow(work, FOUND)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_bytes().alias("text")).withColumn("text_hash", F.xxhash64("text")).mapInArrow(work, FOUND)
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -117,17 +122,19 @@ def own_strata(sizes: dict, alpha: float = ALPHA, delta: float = DELTA) -> tuple
 
 def thresholds(found: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict:
     """{(lang, signal): cutoff}: values above are rejected; POOLED is all languages that have none. found: signals(); labels: (doc_id, quality)."""
-    good = labels.filter("quality = 1").select("doc_id")
+    good = labels.filter("quality = 1").select("doc_id").distinct()
     grade = lambda s: F.ceil(F.col(s) * CUTOFFS - 1e-9).cast("int")  # noqa: E731  cutoff j/CUTOFFS rejects grades above j
     each = F.explode(F.array(*(F.struct(F.lit(s).alias("signal"), grade(s).alias("grade")) for s in SIGNALS)))
-    counts = found.filter(~base_failed()).join(good, "doc_id").select("lang", each.alias("x")).groupBy("lang", "x.signal", "x.grade").count().limit(MAX_STRATA * len(SIGNALS) * (CUTOFFS + 1) + 1).collect()
+    trials = found.filter(~base_failed()).join(good, "doc_id").dropDuplicates(["lang", "text_hash"])
+    counts = written(trials.select("lang", each.alias("x")).groupBy("lang", "x.signal", "x.grade").count(), "counts")
+    least = ceil(log(delta / (2 * len(SIGNALS))) / log(1 - alpha / len(SIGNALS)))  # of one stratum's labels, fewer are never enough
+    large = counts.filter(F.col("signal") == SIGNALS[0]).groupBy("lang").agg(F.sum("count").alias("n")).filter(F.col("n") >= least).select(F.col("lang").alias("large_lang"))
+    own_counts = counts.join(large, F.col("lang").eqNullSafe(F.col("large_lang"))).select("lang", "signal", "grade", "count").collect()
+    pooled = counts.groupBy("signal", "grade").agg(F.sum("count").alias("count")).collect()
     seen: dict = {}
-    for r in counts:
-        for lang in (r.lang, POOLED):
-            seen.setdefault(lang, {s: np.zeros(CUTOFFS + 1, np.int64) for s in SIGNALS})[r.signal][min(max(r.grade, 0), CUTOFFS)] += r["count"]
+    for lang, r in [*((r.lang, r) for r in own_counts), *((POOLED, r) for r in pooled)]:
+        seen.setdefault(lang, {s: np.zeros(CUTOFFS + 1, np.int64) for s in SIGNALS})[r.signal][min(max(r.grade, 0), CUTOFFS)] += r["count"]
     sizes = {lang: int(x[SIGNALS[0]].sum()) for lang, x in seen.items() if lang != POOLED}
-    if len(sizes) > MAX_STRATA:
-        raise ValueError(f"over {MAX_STRATA} strata")
     own, each_delta = own_strata(sizes, alpha, delta)
     out = {}
     for lang in [*own, *([POOLED] if seen else [])]:
@@ -142,17 +149,15 @@ def thresholds(found: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
 
 def judged(found: DataFrame, cutoffs: dict) -> DataFrame:
     """found with base_failed, rule (the first signal at fault, or null) and kept."""
+    grade = lambda lang, s, other: round(cutoffs.get((lang, s), other) * CUTOFFS)
+    own = [(lang, [grade(lang, s, 1.0) for s in SIGNALS]) for lang in {lang for lang, _ in cutoffs if lang != POOLED}]
+    table_ = found.sparkSession.createDataFrame(own, "cut_lang string, cut array<int>")
+    most = F.coalesce(F.col("cut"), F.array(*(F.lit(grade(POOLED, s, 1.0)) for s in SIGNALS)))
     rule = F.lit(None).cast("string")
-    for s in reversed(SIGNALS):
-        most = F.lit(round(cutoffs.get((POOLED, s), 1.0) * CUTOFFS))
-        own = [(lang, round(cutoff * CUTOFFS)) for (lang, of), cutoff in cutoffs.items() if of == s and lang != POOLED]
-        if own:
-            chain = F
-            for lang, cutoff in own:
-                chain = chain.when(F.col("lang").eqNullSafe(F.lit(lang)), cutoff)
-            most = chain.otherwise(most)
-        rule = F.when(F.ceil(F.col(s) * CUTOFFS - 1e-9).cast("int") > most, s).otherwise(rule)
-    return found.withColumn("base_failed", base_failed()).withColumn("rule", rule).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    for k, s in reversed(list(enumerate(SIGNALS))):
+        rule = F.when(F.ceil(F.col(s) * CUTOFFS - 1e-9).cast("int") > most[k], s).otherwise(rule)
+    dealt = found.join(F.broadcast(table_) if len(own) <= SMALL else table_, F.col("lang").eqNullSafe(F.col("cut_lang")), "left")
+    return dealt.withColumn("base_failed", base_failed()).withColumn("rule", rule).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).drop("cut_lang", "cut")
 
 
 def op8_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from palimpsest.llm import risk_rules as R
 def test_small_strata_get_the_pooled_cutoff(spark):
     sizes = {"en": 2013, "fr": 490, "de": 488, "es": 311}
     langs = [lang for lang, n in sizes.items() for _ in range(n)]
-    row = lambda i, lang, x: (i, lang, 100, 500, 0, 0, 0, x, 0.0, 0.0, 0.0, 0.0)
+    row = lambda i, lang, x: (i, lang, i, 100, 500, 0, 0, 0, x, 0.0, 0.0, 0.0, 0.0)
     good = [row(i, lang, 0.01 * (i % 5)) for i, lang in enumerate(langs)]
     bad = [row(10_000 + i, lang, 0.9) for i, lang in enumerate([*sizes, None, "xx"])]
     found = spark.createDataFrame([*good, *bad], R.FOUND)
@@ -21,7 +21,7 @@ def test_small_strata_get_the_pooled_cutoff(spark):
 
 
 def test_a_stratum_of_its_own_never_takes_the_pooled_cutoff(spark):
-    rows = [(i, "en" if i < 2000 else "de", 100, 500, 0, 0, 0, 0.5 if i < 20 else 0.0, 0.0, 0.0, 0.0, 0.0) for i in range(20_000)]
+    rows = [(i, "en" if i < 2000 else "de", i, 100, 500, 0, 0, 0, 0.5 if i < 20 else 0.0, 0.0, 0.0, 0.0, 0.0) for i in range(20_000)]
     found = spark.createDataFrame(rows, R.FOUND)
     cut = R.thresholds(found, spark.range(20_000).selectExpr("id AS doc_id", "1 AS quality"))
     assert cut[R.POOLED, "symbol_rate"] < 0.5 <= cut["en", "symbol_rate"]
