@@ -5,8 +5,8 @@ its registered domain, the domain's to that of its suffix and the suffix's to th
 is follows from the spread of the rates below it (method of moments), so nothing is set by hand but the quantile.
 A host is blocked if the lower bound of its posterior bad rate lies above the limit.
 
-Everything is Spark SQL: no Python runs on executors. Only counts by host are shuffled; page rows meet their host's
-verdict in an equi-join whose hot keys Spark's adaptive execution splits.
+Everything is Spark SQL: no Python runs on executors. Counts by host are written once and read by all levels; page rows
+meet their host's verdict in an equi-join whose hot keys Spark's adaptive execution splits. Ports count for no level.
 
 Cases: a null url, or one without "://", has an empty host and path, fits no rule and gets the verdict of the empty
 host. Hosts without labelled pages take their domain's posterior, unknown domains their suffix's. Labels of pages that
@@ -20,12 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import table, written
 
 #: The contract's rules, as (verdict, rule).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: A host is blocked above this bad rate; Z is the one-sided 95 % normal quantile.
 LIMIT, Z = 0.5, 1.6448536269514722
+BACK = chr(92)
 A_Z, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,12 +48,12 @@ def matched_rule(rules, host: str = "host", path: str = "path") -> tuple[Column,
     return rule, verdict
 
 
-#: The posterior by host, in SQL that Spark and other engines share. Reads views page_host(page_id, host) and
-#: outcome(page_id, bad). {domain} and {suffix} are expressions over host.
-POSTERIOR = """
-host_sum AS (
+#: Outcomes by host, from views page_host(page_id, host) and outcome(page_id, bad); and the posterior by host, from
+#: host_sum. Spark and other engines share this SQL. {domain} and {suffix} are expressions over host.
+HOST_SUM = """
   SELECT h.host, COUNT(o.bad) AS n, COALESCE(SUM(o.bad), 0) AS k
-  FROM page_host h LEFT JOIN outcome o ON h.page_id = o.page_id GROUP BY h.host),
+  FROM page_host h LEFT JOIN outcome o ON h.page_id = o.page_id GROUP BY h.host"""
+POSTERIOR = """
 host_level AS (SELECT host, n, k, {domain} AS domain, {suffix} AS suffix FROM host_sum),
 domain_level AS (SELECT domain, MIN(suffix) AS suffix, SUM(n) AS n, SUM(k) AS k FROM host_level GROUP BY domain),
 suffix_level AS (SELECT suffix, SUM(n) AS n, SUM(k) AS k FROM domain_level GROUP BY suffix),
@@ -86,20 +87,28 @@ reputation AS (
   SELECT host, n, a / (a + b) AS bad_rate,
          a / (a + b) - {z} * SQRT(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower_bound FROM host_post)
 """
-SPARK_DOMAIN = r"regexp_extract(host, '([^.]+\\.)?[^.]*\\z', 0)"
-SPARK_SUFFIX = r"regexp_extract(host, '[^.]*\\z', 0)"
+#: Second labels under which countries register names, as in co.uk, com.au or ac.jp (fixed values).
+SECOND = ("ac", "co", "com", "edu", "go", "gov", "gob", "ne", "net", "nom", "or", "org", "sch")
+
+
+def level(domain: bool, slash: str, end: str) -> str:
+    """SQL for a host's registered domain or suffix, without its port. A suffix is the last label, or two of which the
+    first is one of SECOND and the last has two letters; a domain is a suffix with the label before."""
+    suffix = f"(({'|'.join(SECOND)}){slash}.[a-z][a-z]|[^.]*)"
+    what = f"([^.]+{slash}.)?{suffix}" if domain else suffix
+    return f"regexp_extract(regexp_replace(host, ':[0-9]*{end}', ''), '(^|{slash}.)({what}){end}', 2)"
 
 
 def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     """host, n, bad_rate, lower_bound of every host of pages (page_id, host); outcomes: (page_id, bad 0/1)."""
     spark = pages.sparkSession
-    body = POSTERIOR.format(domain=SPARK_DOMAIN, suffix=SPARK_SUFFIX, z=Z)
-    return spark.sql(
+    body = POSTERIOR.format(domain=level(True, BACK + BACK, BACK + BACK + "z"), suffix=level(False, BACK + BACK, BACK + BACK + "z"), z=Z)
+    sums = spark.sql(
         "WITH page_host AS (SELECT page_id, host FROM {pages}), "
-        "outcome AS (SELECT page_id, CAST(bad AS BIGINT) AS bad FROM {outcomes} WHERE bad IS NOT NULL AND page_id IS NOT NULL), "
-        + body + " SELECT host, n, bad_rate, lower_bound FROM reputation",
+        "outcome AS (SELECT page_id, CAST(bad AS BIGINT) AS bad FROM {outcomes} WHERE bad IS NOT NULL AND page_id IS NOT NULL) " + HOST_SUM,
         pages=pages.select("page_id", "host"), outcomes=outcomes.select("page_id", "bad"),
     )
+    return spark.sql("WITH " + body.replace("FROM host_sum", "FROM {host_sum}") + " SELECT host, n, bad_rate, lower_bound FROM reputation", host_sum=written(sums, "hosts"))
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT) -> DataFrame:
@@ -122,7 +131,7 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     fits = lambda rule: "((host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}'))".format(*rule.split("/", 1))
     longest = sorted(RULES, key=lambda x: -len(x[1]))
-    body = POSTERIOR.format(domain=r"regexp_extract(host, '([^.]+\.)?[^.]*$', 0)", suffix=r"regexp_extract(host, '[^.]*$', 0)", z=Z)
+    body = f"host_sum AS ({HOST_SUM}), " + POSTERIOR.format(domain=level(True, BACK, "$"), suffix=level(False, BACK, "$"), z=Z)
     rest = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
     return (
         f"WITH cut AS (SELECT page_id, COALESCE({rest}, '') AS rest FROM pages), "
