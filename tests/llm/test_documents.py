@@ -33,6 +33,16 @@ def test_mix(docs, rows):
         assert g.taken == g.passes * g["size"] + sum(x["to"] - x["from"] for x in g.extra)
         taken[g.source] += g.taken
     assert all(abs(taken[s] - want[s]) <= 24 for s in want)
+    plan = {r[1]: r for r in M.source_plan([(s, sizes[s], 1) for s in sizes], block=8)}
+    words = defaultdict(int)
+    for g in got:
+        assert sum(x["to"] - x["from"] for x in g.picks) == g.taken
+        for x in g.picks:
+            words[g.source, x["shard"]] += x["to"] - x["from"]
+    for s, row in plan.items():  # each shard takes its quota of blocks; the source's last block may be short, once a pass
+        quotas = np.diff([0, *row[-1]])
+        short = [row[4] * int(q) - words[s, k] for k, q in enumerate(quotas)]
+        assert min(short) >= 0 and sum(short) < row[4] * (row[6] + 1) and sum(x > 0 for x in short) <= row[6] + 1
     again = M.mixed(M.sized(docs.repartition(7)), block=8).select("doc_id", "size", "taken").collect()
     assert Counter((a.doc_id, a["size"], a.taken) for a in again) == Counter((g.doc_id, g["size"], g.taken) for g in got)
 
@@ -50,6 +60,12 @@ def test_mix_of_nothing(no_docs, spark):
     assert [(r.target, r.taken) for r in M.mixed(M.sized(empty)).collect()] == [(0.0, 0), (0.0, 0)]
 
 
+def test_small_sources_come_near_their_targets(spark):
+    rows = [(i, "w " * 50, "big") for i in range(400)] + [(500 + i, "w " * n, f"s{n}") for i, n in enumerate((1, 2, 3, 5, 9, 20, 63, 64, 65, 300))]
+    got = M.mixed(M.sized(spark.createDataFrame(rows, "doc_id long, text string, source string"))).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert all(abs(r.taken - r.target) <= (1 if r.target < 32 * 64 else 128) for r in got)
+
+
 def test_targets_and_seats():
     assert M.targets([10, 10, 1000], [1, 2, 3]) == [30.0, 30.0, 960.0]
     w = np.array([5.3, 2.1, 0.0, 9.9, 9.9])
@@ -269,13 +285,15 @@ def test_exact_bounds():
 
 def test_thresholds_hold_their_promise(spark):
     r = np.random.default_rng(1)
-    rows = [(i, ("en", None)[i % 2], 100, 500, 0, 0, 0, float(r.beta(1, 30)), 0.0, 0.0, 0.0, 0.0) for i in range(6000)]
+    rows = [(i, ("en", None)[i % 2], i, 100, 500, 0, 0, 0, float(r.beta(1, 30)), 0.0, 0.0, 0.0, 0.0) for i in range(6000)]
     found = spark.createDataFrame(rows, R.FOUND)
     good = spark.createDataFrame([(i, 1) for i in range(6000)], "doc_id long, quality int")
     cut = R.thresholds(found, good)
     assert ("en", "symbol_rate") in cut and (None, "symbol_rate") in cut
     lost = R.judged(found, cut).filter("NOT kept").count()
     assert 0 <= lost <= 6000 * R.ALPHA
+    alike = found.withColumn("text_hash", F.lit(7))  # copies are one trial, whatever their number
+    assert R.thresholds(alike, good) == {} and R.thresholds(found, good.union(good)) == cut
     assert R.thresholds(found, good.limit(0)) == {} and R.thresholds(found.limit(0), good) == {}
 
 
