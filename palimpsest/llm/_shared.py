@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -58,9 +59,14 @@ def dropped(df: DataFrame) -> None:
 
 
 def released(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of stages whose results are already written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner remove the shuffle files of stages whose results are already written, before the next begin.
+
+    The cleaner learns of them from the JVM's collector, and that from Python's, each a moment later.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -398,7 +398,6 @@ def remaining(entry: DataFrame, live: DataFrame, percent: int) -> DataFrame:
 
 def connected(lists: DataFrame, sets: DataFrame, links: DataFrame | None, percent: int) -> DataFrame | None:
     """class, component of the classes that links (a, b: those given, and those that lists yield) connect."""
-    spark = lists.sparkSession
     known = None if links is None else components(links)
     for k, groups in enumerate((*PIVOT_GROUPS, 0)):
         entry = spread(lists, known)
@@ -408,7 +407,6 @@ def connected(lists: DataFrame, sets: DataFrame, links: DataFrame | None, percen
         tried = written(nearest_pivots(entry, live, percent) if groups else remaining(entry, live, percent), "tried")
         found = written(compared(tried, sets, percent), "found")
         dropped(live)
-        released(spark)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             known = components(links)
