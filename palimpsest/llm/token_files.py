@@ -137,14 +137,18 @@ def encoder(path: str) -> Encoder:
     return kept(("token_files", path), lambda: Encoder(path))
 
 
-def slots(keys: np.ndarray) -> np.ndarray:
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int32)
+def slots(keys: np.ndarray, factor: int) -> np.ndarray:
+    return ((keys * np.uint64(factor)) >> np.uint64(64 - SLOTS)).astype(np.int32)
 
 
-def places_of_pairs(s: np.ndarray, end: int) -> np.ndarray:
-    """Where a pair begins that may be replaced: within a document, and in a run of one symbol every other place only."""
+def places_of_pairs(s: np.ndarray, end: int, alive: np.ndarray | None = None) -> np.ndarray:
+    """Where a pair begins that may be replaced: within a document, and in a run of one symbol every other place only;
+    of those that are alive, if given."""
     same = s[:-1] == s[1:]
-    own = (s[:-1] != end) & (s[1:] != end)
+    inner = s != end
+    own = inner[:-1] & inner[1:]
+    if alive is not None:
+        own &= alive[:-1]
     at = np.flatnonzero(same)
     if len(at):
         run = np.flatnonzero(np.diff(at, prepend=-2) > 1)
@@ -160,14 +164,21 @@ def re_pair(symbols: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray, np
     Frequent pairs go first. A step takes all pairs that are at least a STEPth as frequent as the most frequent one; where
     two of them overlap, the more frequent one is replaced, so the most frequent one everywhere. A pair that gets fewer
     than LEAST places so waits for a later step, as does one whose slot of the table of a step is taken.
+
+    Only new rules make pairs more frequent, and those pairs hold a new symbol. So a place whose pair is rarer than LEAST is
+    no longer alive, until a rule changes it, and isn't counted again.
     """
-    s = symbols.astype(np.uint32)
+    s, alive = symbols.astype(np.uint32), np.ones(len(symbols), bool)
+    factor = 0x9E3779B97F4A7C15
     left, right, length, n = [], [], [np.ones(vocab + 1, np.int64)], vocab + 1
     while len(s) > 1:
-        at = places_of_pairs(s, vocab)
+        at = places_of_pairs(s, vocab, alive)
         keys = (s[at].astype(np.uint64) << np.uint64(32)) | s[at + 1]
-        slot = slots(keys)
-        some = np.flatnonzero((np.bincount(slot, minlength=1 << SLOTS) >= LEAST)[slot])
+        slot = slots(keys, factor)
+        many = np.bincount(slot, minlength=1 << SLOTS)
+        alive[at[(many < LEAST)[slot]]] = False
+        top = np.unique(keys[slot == many.argmax()], return_counts=True)[1].max(initial=0)  # the most frequent pair has as many at least
+        some = np.flatnonzero((many >= max(LEAST, -(-top // STEP)))[slot])
         at, keys, slot = at[some], keys[some], slot[some]
         ordered = np.sort(keys)
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.zeros(0, np.int64)
@@ -177,10 +188,9 @@ def re_pair(symbols: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray, np
         if not len(pairs):
             break
         pairs = pairs[np.lexsort((pairs, -counts))]
-        own = slots(pairs)
-        pairs = pairs[np.sort(np.unique(own, return_index=True)[1])]
+        pairs = pairs[np.sort(np.unique(slots(pairs, factor), return_index=True)[1])]
         owner, rank_of = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int32)
-        own = slots(pairs)
+        own = slots(pairs, factor)
         owner[own], rank_of[own] = pairs, np.arange(len(pairs))
         match = owner[slot] == keys
         hit, rank = at[match], rank_of[slot[match]]
@@ -193,7 +203,9 @@ def re_pair(symbols: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray, np
         s[hit] = (n + np.cumsum(used) - 1)[rank]
         gone = np.ones(len(s), bool)
         gone[hit + 1] = False
-        s = s[gone]
+        alive[hit], alive[np.maximum(hit - 1, 0)] = True, True
+        s, alive = s[gone], alive[gone]
+        factor = factor * 0xBF58476D1CE4E5B9 % (1 << 64)  # odd, as both are: pairs that shared a slot part
         new = pairs[used]
         left.append((new >> np.uint64(32)).astype(np.int64))
         right.append((new & np.uint64(0xFFFFFFFF)).astype(np.int64))
