@@ -62,16 +62,50 @@ def test_python_symbols():
     by = {f["name"]: f for f in got["functions"]}
     assert list(by) == ["__init__", "_go", "__hidden", "inner"]
     assert by["__init__"]["parameters"][2] == {"name": "b", "type_annotation": "int", "default_value": "2"} and [p["name"] for p in by["__init__"]["parameters"]] == ["self", "a", "b", "*rest", "k", "**more"]
-    assert by["__init__"]["signature"] == "def __init__(self, a, /, b: int=2, *rest, k=None, **more) -> None:" or by["__init__"]["kind"] == "method"
+    assert by["__init__"]["signature"] == "def __init__(self, a, /, b: int = 2, *rest, k=None, **more) -> None:" and by["__init__"]["kind"] == "method"
     go = by["_go"]
-    assert (go["container"], go["visibility"], go["is_static"], go["calls"], go["instantiations"], go["string_literals"]) == ("K", "protected", True, ["self.run"], ["Thing"], ["text"])
+    assert (go["container"], go["visibility"], go["is_static"], go["calls"], go["instantiations"], go["string_literals"]) == ("K", "protected", True, ["self.run"], ["Thing"], ['"text"'])
     assert by["__hidden"]["visibility"] == "private" and by["inner"]["kind"] == "function"
     k = got["classes"][0]
-    assert (k["base_classes"], k["kind"], k["decorators"], [f["name"] for f in k["fields"]], k["methods"], k["doc"]) == (["ABC", "m.B"], "abstract_class", ["dec"], ["one", "two", "other", "three"], ["__init__", "_go"], "Doc.")
+    assert (k["base_classes"], k["kind"], k["decorators"], [f["name"] for f in k["fields"]], k["methods"], k["doc"]) == (["ABC", "m.B"], "abstract_class", ["dec"], ["one", "two", "three"], ["__init__", "_go"], "Doc.")
     assert [(i["module"], i["names"], i["alias"], i["is_wildcard"]) for i in got["imports"]] == [("os.path", [], "p", False), ("sys", [], None, False), (".a", ["b", "d"], None, False), ("x", [], None, True)]
     assert got["module_doc"] == "Module text." and python_symbols.parse("def (", "x.py") is None
 
 
+WRITTEN = '''def f(a="s", b=0x10, c: "X" = 'y', d: Dict[str,int] = {}, e=(1), *r: int,
+      k = lambda x, y: 1) -> "Y" :
+    """ Doc 'q'
+    more """
+    models.User(1); get()(2); (g)(3)
+    U = User("w")
+    return f"a{u.b('n')}" r's'
+class A(abc.ABC, metaclass=ABCMeta):
+    q: int
+    z = y = "\u00e9"; v = \u00e9(1)
+    def __init__(self): self.a.b = [1,
+       2]
+'''
+
+
+def test_python_texts_are_as_written():
+    got = python_symbols.parse(WRITTEN, "a.py")
+    f = got["functions"][0]
+    assert f["signature"] == """def f(a="s", b=0x10, c: "X" = 'y', d: Dict[str,int] = {}, e=(1), *r: int, k = lambda x, y: 1) -> "Y":""" and f["return_type"] == '"Y"'
+    assert [(p["type_annotation"], p["default_value"]) for p in f["parameters"]] == [(None, '"s"'), (None, "0x10"), ('"X"', "'y'"), ("Dict[str,int]", "{}"), (None, "(1)"), ("int", None), (None, "lambda x, y: 1")]
+    assert (f["calls"], f["instantiations"], f["field_accesses"]) == (["get", "models.User", "u.b"], ["User"], ["models.User", "u.b"])
+    assert f["string_literals"] == ['""" Doc \'q\'\n    more """', '"w"', "'n'", "f\"a{u.b('n')}\"", "r's'"] and f["doc"] == "Doc 'q'\n    more"
+    k = got["classes"][0]
+    assert [(x["name"], x["default_value"]) for x in k["fields"]] == [("q", "int"), ("z", 'y = "\u00e9"'), ("v", "\u00e9(1)"), ("a.b", "[1,\n       2]")] and k["kind"] == "class"
+
+
+def test_python_files_with_errors():
+    text = "import os\ndef a():\n    print 'x'\n    return b()\ndef c(:\n    pass\nclass D:\n    def e(self): return 1\n    def f(self) return 2\n    def g(self): return 3\nx = (1,\n"
+    got = python_symbols.parse(text, "a.py")
+    assert [(f["container"], f["name"], f["calls"], f["start_line"]) for f in got["functions"]] == [(None, "a", ["b"], 2), ("D", "e", [], 8), ("D", "g", [], 10)]
+    assert [c["name"] for c in got["classes"]] == ["D"] and [i["module"] for i in got["imports"]] == ["os"]
+    assert python_symbols.parse("", "a.py")["functions"] == [] and python_symbols.parse("x = '\x00'", "a.py") is None
+
+
 def test_java_symbols():
     got = java_symbols.parse(JAVA, "K.java")
     by = {(f["container"], f["name"]): f for f in got["functions"]}
