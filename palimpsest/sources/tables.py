@@ -14,6 +14,8 @@ DOCS = "file_path string, doc string"
 FILES = "path string, content_hash string, language string"
 SLICE = "slice_id string, commit_hash string, commit_date string, slice_type string, version_tag string, metadata struct<total_files:int,total_lines:int,target_language_total_files:int,target_language_total_lines:int,changed_files_since_prev_slice:int,commit_message:string,lines_added:int,lines_deleted:int,slice_score:double>"
 QA = "qa_id string, repo string, qa_type string, qa_subtype string, question string, answer string, slice_id string, from_slice_id string, to_slice_id string, question_key string, evidence struct<kind:string,name:string,file_path:string>"
+#: Types of questions.
+TYPES = ("intrinsic", "extrinsic", "temporal")
 SYMBOLS = {"functions": FUNCTIONS, "classes": CLASSES, "imports": IMPORTS, "module_docs": DOCS}
 
 
@@ -42,6 +44,21 @@ def pool_path(root: str, qa_type: str) -> str:
     return f"{root}/all_qa_pairs.jsonl" if qa_type == "all" else f"{root}/{qa_type}_qa_pairs.jsonl"
 
 
+def read_pool(spark: SparkSession, root: str, qa_type: str) -> DataFrame:
+    """The questions of one type, or of all; none where there is no such file."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pool_path(root, qa_type))
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], QA)
+    return read_qa(spark, pool_path(root, qa_type))
+
+
+def write_pools(qa: DataFrame, root: str) -> None:
+    """Questions as pools that read_pool finds: one for each type of TYPES, and one of all."""
+    for qa_type in TYPES:
+        qa.filter(F.col("qa_type") == qa_type).write.mode("overwrite").json(pool_path(root, qa_type))
+    qa.write.mode("overwrite").json(pool_path(root, "all"))
+
+
 def write_qa(qa: DataFrame, root: str) -> None:
     """Questions by repo and type, as JSON lines."""
     qa.withColumns({"repo_": F.col("repo"), "type_": F.col("qa_type")}).write.mode("overwrite").partitionBy("repo_", "type_").json(root)
