@@ -69,6 +69,7 @@ class Cut:
         self.ends = np.searchsorted(self.start, np.concatenate([[0], ends]))
         self.size = self.stop - self.start
         self.view = np.ndarray(len(data), "<u8", self.raw + bytes(8), strides=(1,))
+        self.begin = self.view[self.start] & MASKS[np.minimum(self.size, 8)]  # lane 0 of all words
 
     def lane(self, words: np.ndarray, k: int) -> np.ndarray:
         """Bytes 8 k to 8 k + 7 of the words, which must be longer than 8 k bytes; 0 beyond their end."""
@@ -77,13 +78,24 @@ class Cut:
     def word(self, k: int) -> bytes:
         return self.raw[self.start[k] : self.stop[k]]
 
+    def objects(self, words: np.ndarray) -> list[bytes]:
+        """The words, those of 8 * LANES bytes at most being cut from one copy."""
+        short = self.size[words] <= 8 * LANES
+        some = words[short]
+        n = self.size[some] + 1
+        ends = np.cumsum(n)
+        copy = np.frombuffer(self.raw, np.uint8)[np.repeat(self.start[some] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        copy[ends - 1] = 10
+        found = iter(copy.tobytes().split(b"\n"))
+        return [next(found) if s else self.word(k) for s, k in zip(short.tolist(), words.tolist())] if not short.all() else list(found)[:-1]
+
     def mixed(self, words: np.ndarray) -> np.ndarray:
         """A 64-bit hash of words of 8 * LANES bytes at most: 8 bytes at a time are stirred in by steps that are one to one
         and not linear, so words of one length that differ in one lane only never share it."""
         h = self.size[words].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         left, k = np.arange(len(words)), 0
         while len(left):
-            x = (h[left] ^ self.lane(words[left], k)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (h[left] ^ (self.lane(words[left], k) if k else self.begin[words])) * np.uint64(0xBF58476D1CE4E5B9)
             x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
             h[left] = x ^ (x >> np.uint64(32))
             k += 1
@@ -113,7 +125,7 @@ class IdMemo:
     def __init__(self, kind: np.dtype, most: int, bits: int = 21):
         self.kind, self.most, self.bits = np.dtype(kind), most, bits
         self.slot, self.n = np.full(1 << bits, -1, np.int32), 0
-        self.key, self.bytes = np.zeros(most, np.uint64), np.zeros(most, np.int32)
+        self.key, self.begin, self.bytes = np.zeros(most, np.uint64), np.zeros(most, np.uint64), np.zeros(most, np.int32)
         self.lanes, self.lane_at, self.laid = np.zeros(1 << 12, np.uint64), np.zeros(most, np.int64), 0
         self.at, self.size = np.zeros(most, np.int64), np.zeros(most, np.int32)
         self.ids, self.used = np.zeros(1 << 16, self.kind), 0
@@ -124,9 +136,10 @@ class IdMemo:
         return own.mixed(words)
 
     def _same(self, own: Cut, words: np.ndarray, entries: np.ndarray) -> np.ndarray:
-        """Whether the words are those of the entries, byte by byte."""
-        same = own.size[words] == self.bytes[entries]
-        left, k = np.flatnonzero(same), 0
+        """Whether the words are those of the entries, byte by byte; their lanes 0 are the same."""
+        size = own.size[words]
+        same = size == self.bytes[entries]
+        left, k = np.flatnonzero(same & (size > 8)), 1
         while len(left):
             w, e = words[left], entries[left]
             agree = self.lanes[self.lane_at[e] + k] == own.lane(w, k)
@@ -143,7 +156,7 @@ class IdMemo:
             e = self.slot[place]
             there = e >= 0
             open_, place, e = open_[there], place[there], e[there]
-            hit = self.key[e] == h[open_]
+            hit = self.begin[e] == own.begin[words[open_]]
             hit[hit] = self._same(own, words[open_[hit]], e[hit])
             out[open_[hit]] = e[hit]
             open_, place = open_[~hit], (place[~hit] + 1) & mask
@@ -178,7 +191,7 @@ class IdMemo:
         self.size[n : n + m], self.at[n : n + m] = sizes, self.used + np.cumsum(sizes) - sizes
         short = own.size[words] <= 8 * LANES
         need = np.where(short, -(-own.size[words] // 8), 0)
-        self.key[n : n + m], self.bytes[n : n + m] = h, np.where(short, own.size[words], -1)
+        self.key[n : n + m], self.begin[n : n + m], self.bytes[n : n + m] = h, own.begin[words], np.where(short, own.size[words], -1)
         self.lane_at[n : n + m] = self.laid + np.cumsum(need) - need
         lanes = self._grown("lanes", self.laid + int(need.sum()))
         for k in range(int(need.max(initial=0))):
@@ -222,7 +235,7 @@ class IdMemo:
                     half = len(texts) // 2
                     return self.texts(texts[:half], learn) + self.texts(texts[half:], learn)
                 return [np.concatenate([learn([own.word(k) for k in range(a, min(a + self.most, len(own.size)))])[1] for a in range(0, len(own.size), self.most)])]
-            self.add(own, first, h[first], *learn([own.word(k) for k in first.tolist()]))
+            self.add(own, first, h[first], *learn(own.objects(first)))
             entry = self._again(own, h, entry, miss)
         size = self.size[entry].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(size)])

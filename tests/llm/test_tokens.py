@@ -146,3 +146,58 @@ def test_no_pair_is_left_that_gains(ids, repeats):
         text[6 + k] = text[a] + text[b]
         assert len(text[6 + k]) == length[k] and 5 not in text[6 + k]
     assert [x for k in short.tolist() for x in text[k]] == s.tolist()
+
+
+def test_re_pair_sorts_what_rules_changed(monkeypatch):
+    """Steps that replace little don't go through a whole shard again: all together sort few times its places."""
+    sorted_places, by_pair = [], K.by_pair
+    monkeypatch.setattr(K, "by_pair", lambda keys, at, *rest: sorted_places.append(len(at)) or by_pair(keys, at, *rest))
+    a, b = [1], [2]
+    for _ in range(22):  # nested repeats take a step a level
+        a, b = b, b + a
+    rare = np.random.default_rng(0).permutation(np.repeat(np.arange(10, 20010), 4))
+    s = np.concatenate([a, [30000], rare, [30000], np.full(3000, 3), [30000]]).astype(np.uint32)
+    short, left, right, length = K.re_pair(s, 30000)
+    assert len(sorted_places) > 10 and sum(sorted_places) < 4 * len(s)
+    assert length.sum() > 0 and K.Frame(K.to_frame([0], [s[:-1][s[:-1] != 30000]], 30000)).document(0).tolist() == [*s[s != 30000].tolist(), 1]
+
+
+def test_places_are_grouped_alike_in_numbers_of_any_size():
+    keys = np.array([7, 3, 7, 7, 9, 3, 7, 7, 3, 3, 3], np.int64)
+    at = np.arange(len(keys))
+    for got in zip(K.by_pair(keys, at, 10, 50), K.by_pair(keys, at, 30, 50)):
+        assert got[0].tolist() == got[1].tolist()
+    pairs, counts, places = K.by_pair(keys, at, 30, 50)
+    assert pairs.tolist() == [3, 7] and counts.tolist() == [5, 5] and places.tolist() == [1, 5, 8, 9, 10, 0, 2, 3, 6, 7]
+
+
+def test_runs_whose_beginning_was_replaced():
+    """No pair of one symbol is left either, where another rule took the first of a run."""
+    s = np.array(([9, 4, 4, 4, 4, 4, 7] * 40 + [9, 4, 8] * 200 + [20]) * 2, np.uint32)
+    short = K.re_pair(s, 20)[0]
+    at = K.places_of_pairs(short, 20)
+    assert np.unique(np.stack([short[at], short[at + 1]]), axis=1, return_counts=True)[1].max(initial=0) < K.LEAST
+
+
+def test_the_library_gets_short_texts():
+    """New pieces go to the library in texts that a core's cache holds, in one call."""
+    own, seen = K.Encoder(K.default_tokenizer()), []
+
+    class Spy:
+        def encode_batch_fast(self, texts, **rest):
+            seen.append([len(t.split(" ")) for t in texts])
+            return bulk.encode_batch_fast(texts, **rest)
+
+    bulk, own.bulk = own.bulk, Spy()
+    text = " ".join(f"q{k}x," for k in range(2000)).encode()
+    assert own.ids([text])[0].tolist() == own.own.encode(text.decode(), add_special_tokens=False).ids
+    assert len(seen) == 1 and sum(seen[0]) > 6000 and max(seen[0]) <= 256
+
+
+def test_words_as_objects_and_their_beginnings():
+    from palimpsest.llm._words import Cut
+
+    words = [b"x", b"x" * 8, b"x" * 9, b"y" * 64, b"z" * 65, b"w" * 1000, b"last"]
+    own = Cut([b" ".join(words[:4]), b"", b"\t\n".join(words[4:])])
+    assert own.objects(np.arange(7)) == words and own.objects(np.array([6, 4, 0])) == [b"last", b"z" * 65, b"x"] and own.objects(np.array([], int)) == []
+    assert own.begin.tolist() == [own.lane(np.array([k]), 0)[0] for k in range(7)]
